@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .fingerprints import op2_fingerprints
+from .language_id import op1_language_id
 from .mixing import OP3_SQL, op3_mix_sources
+from .token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_fingerprints": op2_fingerprints,
     "op3_mix_sources": op3_mix_sources,
+    "op4_bpe": op4_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
 }
 

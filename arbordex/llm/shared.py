@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,19 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
 
+_sent: set[str] = set()
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers get. Texts may be long, so rows alone don't bound them."""
+    """Send this package to the executors and bound the Arrow batches that Python workers get (texts may be long, so by bytes too)."""
+    if (app := spark.sparkContext.applicationId) not in _sent:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp(prefix="arbordex-")) / f"{package.name}-{uuid.uuid4().hex[:8]}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(path))
+        _sent.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
