@@ -7,6 +7,7 @@ from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .language_id import op1_language_id
 from .mixing import OP3_SQL, op3_mix_sources
+from .ngram_join import op8_ngram_join
 from .substring_dedup import op5_substring_dedup
 from .token_counts import op6_token_counts
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 ORACLES = {

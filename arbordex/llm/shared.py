@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -48,9 +49,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shards(spark: SparkSession) -> int:
     """Into how many parts operators deal their intermediate rows: as many as the session's shuffles have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -72,4 +80,4 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.col(text))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "documents", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "documents", "release", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]
