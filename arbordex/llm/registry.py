@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .language_id import op1_language_id
+from .line_dedup import op9_line_dedup
 from .mixing import OP3_SQL, op3_mix_sources
 from .ngram_join import op8_ngram_join
 from .substring_dedup import op5_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES = {
