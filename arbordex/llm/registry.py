@@ -11,6 +11,7 @@ from .mixing import OP3_SQL, op3_mix_sources
 from .ngram_join import op8_ngram_join
 from .substring_dedup import op5_substring_dedup
 from .token_counts import op6_token_counts
+from .url_filter import op10_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES = {
