@@ -77,9 +77,8 @@ def directory_chains(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         chains = chains.where("state IS NOT NULL").unionByName(more)
         span *= 2
     chains = cut_lineage(chains)
-    # A cycle repeats itself: it is cut before a directory comes again.
-    here = F.array_position(F.slice("ancestors", 2, F.lit(1 << 20)), F.col("record"))
-    first = F.when(here > 0, here.cast("int")).otherwise(F.size("ancestors"))
+    # A chain that ends in a cycle is cut where it would come to a directory again.
+    first = F.size(F.array_distinct("ancestors"))
     loop = F.col("state").isNull()
     return chains.withColumns({"names": F.when(loop, F.slice("names", F.lit(1), first)).otherwise(F.col("names")), "ancestors": F.when(loop, F.slice("ancestors", F.lit(1), first)).otherwise(F.col("ancestors")), "state": F.coalesce("state", F.lit("cycle"))})
 

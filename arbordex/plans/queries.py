@@ -69,9 +69,9 @@ def fl04_only_separators(spark, sf):
     return search.search(warehouse(spark, sf), SearchSpec(";")).select(*_ID)
 
 
-@query(sql.dirs(f"SELECT w.record_number, w.parent_record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE starts_with(lower(d.p), 'w:\\asia\\ch') AND contains(lower(w.name), 'line1')"))
+@query(sql.dirs(f"SELECT w.record_number, w.parent_record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE starts_with(lower(d.p), 'w:\\asia\\nation_1') AND contains(lower(w.name), 'line1')"))
 def fl05_scope(spark, sf):
-    return search.search(_warehouse_with_parents(spark, sf), SearchSpec("`W:\\Asia\\CH` line1")).select(*_ID, "parent_path")
+    return search.search(_warehouse_with_parents(spark, sf), SearchSpec("`W:\\Asia\\NATION_1` line1")).select(*_ID, "parent_path")
 
 
 @query(sql.w(f"SELECT {_IDS} FROM w WHERE name <> '' AND regexp_matches(name, '^Line[1-3][.](log|TXT)$')"))
