@@ -4,7 +4,7 @@
    then pairs of unequal neighbours do where a hash bit of the first is 0 and that of the second is 1. Names are hashes
    of what they stand for, so they are the same in the whole corpus without any exchange. With each symbol goes the range of words
    its making depended on: wherever exactly these words occur, the same symbol does.
-2. Revealing. Each window of WINDOW words takes the least of the symbols that depend only on the window's words; neighbouring windows
+2. Revealing. Each window of WINDOW words takes the longest (of equal ones, the least) of the symbols that depend only on the window's words; neighbouring windows
    with the same symbol are a block. Equal windows take equal symbols, so a window can only repeat where its symbol does.
    A window without such a symbol (in runs of very few words) goes by its own hash.
 3. Verifying. Blocks meet by symbol. A block whose whole word sequence (96 bits) also occurs in a document with a smaller id
@@ -14,7 +14,7 @@
 
 A batch compares its own blocks first and sends on only those with the smallest id, so a passage of a third of all
 documents is one row of each batch. Symbols that many blocks of a batch share are dealt by the blocks' content instead.
-Texts are shuffled once: both joins use the same exchange.
+Texts are shuffled once for each of the two joins; the first one's files go before the second.
 
 Windows are judged on the input. Null text has no words; null doc_id comes before all others. Rows with the same doc_id are told
 apart by their texts, and don't count as smaller than each other. An empty table gives an empty table.
@@ -106,7 +106,8 @@ def blocks(h: np.ndarray, doc: np.ndarray, cuts: np.ndarray, window: int = WINDO
     good = (at - low <= BEFORE) & (high - at <= FROM)
     width = window - BEFORE - FROM + 1
     value = np.full(len(h) + window, TOP, np.uint64)
-    value[at[good]] = np.minimum(mix(name[good]), TOP - U(1))
+    words = np.diff(np.append(at, len(h)))
+    value[at[good]] = (U(15) - np.minimum(words, 15).astype(np.uint64))[good] << U(60) | mix(name[good]) >> U(5)  # the longest symbol, then the least
     least = _least(value[BEFORE:], width)
     begin = np.flatnonzero(np.arange(len(h)) + window <= cuts[1:][doc]) if len(h) else np.zeros(0, np.int64)
     key = least[begin]
@@ -256,7 +257,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = written(_ranges(texts, n, window), "repeats")
     lists = lambda rows, name: rows.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias(name))
     some = texts.join(lists(found.where("NOT repeat"), "open"), ["doc", "row"]).select("doc", "row", "text", "open")
-    repeats = found.where("repeat").unionByName(_windows(some, n, window))
+    repeats = found.where("repeat").unionByName(written(_windows(some, n, window), "windows"))
     return _cleaned(texts.join(lists(repeats, "ranges"), ["doc", "row"], "left"), window)
 
 
