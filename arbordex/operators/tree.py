@@ -8,6 +8,7 @@ Chains that reach neither the root nor a missing parent within MAX_DEPTH are cyc
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,17 @@ KEY = ["drive", "record_number", "parent_record_number"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arbordex-"))
-    return df.checkpoint()
+    """df, written once to the shared checkpoint folder (checkpoint() would compute it twice). The folder is set only where it is unset."""
+    session = df.sparkSession
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = session.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="arbordex-")
+        if not known.isDefined():
+            session.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def dedup(nodes: DataFrame) -> DataFrame:

@@ -34,8 +34,13 @@ def warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.dedup(volumes.warehouse_raw(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The warehouse, written: for queries that go over it several times."""
+    return tree.cut_lineage(warehouse(spark, sf_dir))
+
+
 def _warehouse_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = warehouse(spark, sf_dir)
+    nodes = stored(spark, sf_dir)
     return tree.with_paths(nodes, tree.directory_chains(nodes))
 
 
@@ -156,7 +161,7 @@ def tk01_largest_files(spark, sf):
 
 @query(sql.rolled(f"SELECT 'W' AS drive, rolled.record_number, CASE WHEN rolled.record_number = 5 THEN 'W:\\' ELSE d.p END AS path, total_size, {sql.SIZE_TEXT.format('total_size')} AS size_text, file_count, dir_count FROM rolled JOIN d ON d.record_number = rolled.record_number ORDER BY total_size DESC, rolled.record_number LIMIT 20"))
 def tk02_largest_dirs(spark, sf):
-    nodes = warehouse(spark, sf)
+    nodes = stored(spark, sf)
     chains = tree.directory_chains(nodes)
     top = tree.largest_directories(tree.rollup(nodes, chains))
     return tree.with_paths(top, chains).select("drive", "record_number", "path", "total_size", fn.format_size(F.col("total_size")).alias("size_text"), "file_count", "dir_count")
@@ -164,7 +169,7 @@ def tk02_largest_dirs(spark, sf):
 
 @query(sql.rolled(", k AS (SELECT *, row_number() OVER (PARTITION BY parent_record_number ORDER BY total_size DESC, record_number, name) AS rank FROM rolled WHERE record_number <> 5), t AS (SELECT record_number, name, total_size, CAST(1 AS BIGINT) AS rank, 0 AS depth FROM rolled WHERE record_number = 5 UNION ALL SELECT k.record_number, k.name, k.total_size, k.rank, t.depth + 1 FROM k JOIN t ON k.parent_record_number = t.record_number WHERE k.is_directory AND k.rank <= 10 AND t.depth < 3) SELECT record_number, name, total_size, rank, depth FROM t").replace("rolled AS (", "rolled AS MATERIALIZED ("))
 def tk03_tree_size(spark, sf):
-    nodes = warehouse(spark, sf)
+    nodes = stored(spark, sf)
     chains = tree.directory_chains(nodes)
     shown = tree.tree_size(tree.rollup(nodes, chains), chains)
     return shown.select("record_number", "name", "total_size", F.col("rank").cast("long").alias("rank"), "depth")
@@ -172,7 +177,7 @@ def tk03_tree_size(spark, sf):
 
 @query(sql.rolled("SELECT parent_record_number, record_number, name, total_size, rank FROM (SELECT *, row_number() OVER (PARTITION BY parent_record_number ORDER BY total_size DESC, record_number, name) AS rank FROM rolled WHERE record_number <> 5) WHERE rank <= 3"))
 def tk04_top_children(spark, sf):
-    top = tree.top_children(tree.rollup(warehouse(spark, sf)), 3)
+    top = tree.top_children(tree.rollup(stored(spark, sf)), 3)
     return top.select("parent_record_number", "record_number", "name", "total_size", F.col("rank").cast("long").alias("rank"))
 
 
@@ -181,7 +186,7 @@ def tk04_top_children(spark, sf):
 
 @query(sql.rolled("SELECT record_number, parent_record_number, total_size, total_allocated, file_count, dir_count FROM rolled"))
 def ag01_rollup(spark, sf):
-    return tree.rollup(warehouse(spark, sf)).select("record_number", "parent_record_number", "total_size", "total_allocated", F.col("file_count").cast("long").alias("file_count"), F.col("dir_count").cast("long").alias("dir_count"))
+    return tree.rollup(stored(spark, sf)).select("record_number", "parent_record_number", "total_size", "total_allocated", F.col("file_count").cast("long").alias("file_count"), F.col("dir_count").cast("long").alias("dir_count"))
 
 
 _LOST = "o AS (SELECT * FROM w WHERE NOT (record_number BETWEEN 100000000 AND 9999999999 AND (record_number - 100000000) % 97 = 0))"
@@ -488,7 +493,7 @@ def sr05_next(spark, sf):
 
 @query(f"WITH RECURSIVE {sql.W}, t AS (SELECT 0 AS step, record_number, parent_record_number, name FROM (SELECT * FROM w WHERE NOT is_directory ORDER BY record_number LIMIT 1) UNION ALL SELECT t.step + 1, w.record_number, w.parent_record_number, w.name FROM w JOIN t ON w.record_number = t.parent_record_number WHERE t.record_number <> 5 AND w.is_directory) SELECT step, record_number, parent_record_number, name FROM t")
 def tr01_trace(spark, sf):
-    nodes = warehouse(spark, sf)
+    nodes = stored(spark, sf)
     first = nodes.where("NOT is_directory").agg(F.min("record_number")).head()[0]
     return tree.trace(nodes, "W", first)
 
@@ -515,4 +520,4 @@ def sk03_summary(spark, sf):
 
 @query()
 def tm01_treemap(spark, sf):
-    return treemap.treemap(tree.rollup(warehouse(spark, sf)))
+    return treemap.treemap(tree.rollup(stored(spark, sf)))
