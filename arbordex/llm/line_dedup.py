@@ -12,9 +12,10 @@ judged on the input. Lines without words stay.
    as have to be common) and whose parity bitmaps (their distance is at most the symmetric difference) allow a match go on.
 4. Verify. The pairs' lines are compared word by word.
 
-A line needs one earlier match only. So it first meets the FEW nearest candidates of each prefix word; if none of them is verified
-and there were more, it meets all of them in a second pass. No match is lost, and a word that copies of a line share doesn't
-bring all their pairs.
+A line needs one earlier match only. So it first meets the FEW likeliest candidates of each prefix word; lines of which none is
+verified and that had more are open, and only they meet all of them. No match is lost, and a word that copies of
+a line share doesn't bring all their pairs. The words of open lines are broadcast if there are at most OPEN_WORDS of them, so that
+only lines with one of these are sent again; beyond that, all are.
 
 Null text is empty. Null doc_id comes before all others. Rows with the same doc_id are told apart by their texts. An empty table
 gives an empty table.
@@ -36,9 +37,13 @@ from .words import U, hashed, heads, mix, pieces, raw, salted, split
 
 PERCENT = 80
 BUCKETS = 1 << 16
-FEW = 3
+FEW = 4
+OPEN_WORDS, OPEN_LINES = 1 << 20, 10_000
+#: Neighbours that a line with a large choice looks at first.
+NEAR = 64
+_BLOCK = 1 << 20
 _GONE = ["<i8", "<i4", "<i4"]  # doc, row, line
-_PREFIX = ["<u8", "<u8", "<u8", "<u8", "<i8", "<i4", "<i4", "<i4", "<i4"]  # word, set, bitmap (2), doc, row, line, size, place
+_PREFIX = ["<u8", "<u8", "<u8", "<u8", "<i8", "<i4", "<i4", "<i4", "<i4", "<u1"]  # word, set, bitmap (2), doc, row, line, size, place, open
 _MET = "kind int, doc long, row int, line int, doc2 long, row2 int, line2 int, more boolean"
 _IS_GONE, _IS_PAIR = range(2)
 _NULL = -(1 << 63)
@@ -87,61 +92,117 @@ def lines_of(texts: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], number.astype(np.int32), size.astype(np.int32), set_, *maps, word, np.repeat(np.arange(len(first)), size), first
 
 
-def _sent(texts: DataFrame, rank: np.ndarray, n: int, percent: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(rank)  # BUCKETS numbers
+def _prefixes(size: np.ndarray, percent: int) -> np.ndarray:
+    """How many words of a line go to the join."""
+    return size - -(-percent * size.astype(np.int64) // 100) + 1
+
+
+def _sent(texts: DataFrame, rank: np.ndarray, n: int, percent: int, only: np.ndarray | None = None) -> DataFrame:
+    """texts: doc, row, text and, if not all lines are open, open (their numbers). only: the words to send."""
+    names = [c for c in ("doc", "row", "text", "open") if c in texts.columns]
+    shared = texts.sparkSession.sparkContext.broadcast((rank, only))  # BUCKETS numbers, and OPEN_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, only = shared.value
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            open_ = batch.column(3).to_pylist() if len(names) > 3 else None
             for lo, hi, part in pieces(batch.column(2)):
-                text, line, size, set_, map_a, map_b, word, of, first = lines_of(part, shared.value)
+                text, line, size, set_, map_a, map_b, word, of, first = lines_of(part, rank)
                 if not len(text):
                     continue
                 doc, row = ids[lo:hi][text], rows[lo:hi][text]
                 order = np.lexsort((row, line, doc, set_))
                 again = order[~heads(set_[order])]
-                if len(again):
-                    yield pack((-1 - (mix(doc[again].astype(np.uint64)) % U(n)).astype(np.int32)).astype(np.int32), [doc[again], row[again], line[again]])
+                if len(again) and open_ is None:
+                    yield pack(-1 - (mix(doc[again].astype(np.uint64)) % U(n)).astype(np.int32), [doc[again], row[again], line[again]])
                 once = np.ones(len(text), bool)
                 once[again] = False
+                probe = np.ones(len(text), np.uint8)
+                if open_ is not None:
+                    wanted = {(i, k) for i, found in enumerate(open_[lo:hi]) for k in found or ()}
+                    probe = np.fromiter((x in wanted for x in zip(text.tolist(), line.tolist(), strict=True)), np.uint8, len(text))
                 place = np.arange(len(word)) - first[of]
-                need = -(-percent * size.astype(np.int64) // 100)
-                pick = once[of] & (place < (size - need + 1)[of])
+                pick = once[of] & (place < _prefixes(size, percent)[of])
+                if only is not None:
+                    pick[pick] = np.isin(word[pick], only)
                 of, word, place = of[pick], word[pick], place[pick].astype(np.int32)
-                yield pack((mix(word) % U(n)).astype(np.int32), [word, set_[of], map_a[of], map_b[of], doc[of], row[of], line[of], size[of], place])
+                if len(of):
+                    yield pack((mix(word) % U(n)).astype(np.int32), [word, set_[of], map_a[of], map_b[of], doc[of], row[of], line[of], size[of], place, probe[of]])
+
+    return texts.select(*names).mapInArrow(run, SCHEMA)
 
-    return texts.select("doc", "row", "text").mapInArrow(run, SCHEMA)
 
+def _open_words(texts: DataFrame, rank: np.ndarray, percent: int) -> np.ndarray | None:
+    """The prefix words of open lines; None if there are over OPEN_WORDS of them. texts: doc, row, text, open."""
+    shared = texts.sparkSession.sparkContext.broadcast(rank)
 
-def _candidates(word, map_a, map_b, size, place, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by word and position: pairs (later, earlier) that the filters let through, and which of the later have more of them."""
-    first = np.maximum.accumulate(np.where(heads(word), np.arange(len(word)), 0))
-    found = np.zeros(len(word), np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            open_ = batch.column(1).to_pylist()
+            for lo, hi, part in pieces(batch.column(0)):
+                text, line, size, _, _, _, word, of, first = lines_of(part, shared.value)
+                wanted = {(i, k) for i, found in enumerate(open_[lo:hi]) for k in found}
+                probe = np.fromiter((x in wanted for x in zip(text.tolist(), line.tolist(), strict=True)), bool, len(text))
+                pick = probe[of] & (np.arange(len(word)) - first[of] < _prefixes(size, percent)[of])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(word[pick]).view(np.int64))], names=["word"])
+
+    words = written(texts.where("open IS NOT NULL").select("text", "open").mapInArrow(run, "word long").distinct(), "open-words")
+    if words.limit(OPEN_WORDS + 1).count() > OPEN_WORDS:
+        return None
+    return np.sort(np.array([r["word"] for r in words.collect()], np.int64).view(np.uint64))
+
+
+def _candidates(word, map_a, map_b, doc, row, line, size, place, probe, percent: int, few: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by word, size and position: pairs (later, earlier) that the filters let through, the likeliest few of each
+    later line, and whether it has more of them."""
+    s = size.astype(np.int64)
+    group = np.cumsum(heads(word)).astype(np.int64) << 40
+    # A partner's size is at least PERCENT of a line's own, and at most what the words left after the place allow to be common.
+    low = np.searchsorted(group | s, group | -(-percent * s // 100))
+    high = np.searchsorted(group | s, group | np.maximum(0, ((100 + percent) * (s - place) - percent * s) // percent), "right")
+    room = s - place
+
+    def met(x: np.ndarray, first: np.ndarray, end: np.ndarray):
+        """Pairs of each x with first..end: x, y and their bitmaps' distance."""
+        found = []
+        width = np.maximum(end - first, 0)
+        cuts = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + _BLOCK, _BLOCK), "right")
+        for a, b in zip(cuts[:-1], np.maximum(cuts[1:], cuts[:-1]), strict=True):
+            b = len(x) if b == cuts[-1] else b
+            n = width[a:b]
+            xs = np.repeat(x[a:b], n)
+            ys = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            keep = (100 + percent) * room[ys] >= percent * (s[xs] + s[ys])
+            xs, ys = xs[keep], ys[keep]
+            keep = (doc[ys] < doc[xs]) | (doc[ys] == doc[xs]) & ((line[ys] < line[xs]) | (line[ys] == line[xs]) & (row[ys] < row[xs]))
+            xs, ys = xs[keep], ys[keep]
+            apart = np.bitwise_count(map_a[xs] ^ map_a[ys]).astype(np.int64) + np.bitwise_count(map_b[xs] ^ map_b[ys])
+            both = s[xs] + s[ys]
+            keep = apart <= both - 2 * -(-percent * both // (100 + percent))
+            found.append((xs[keep], ys[keep], apart[keep]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    x = np.flatnonzero((probe > 0) & (high > low))
     more = np.zeros(len(word), bool)
-    later, earlier = [], []
-    live = np.flatnonzero(np.arange(len(word)) > first)
-    lag = 1
-    while len(live):
-        other = live - lag
-        a, b = size[live].astype(np.int64), size[other].astype(np.int64)
-        common = -(-percent * (a + b) // (100 + percent))
-        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (np.minimum(a - place[live], b - place[other]) >= common)
-        k = np.flatnonzero(good)
-        apart = np.bitwise_count(map_a[live[k]] ^ map_a[other[k]]).astype(np.int64) + np.bitwise_count(map_b[live[k]] ^ map_b[other[k]])
-        k = k[apart <= (a + b - 2 * common)[k]]
-        hit = live[k]
-        if few is not None:
-            over = found[hit] >= few
-            more[hit[over]] = True
-            k, hit = k[~over], hit[~over]
-        found[hit] += 1
-        later.append(hit)
-        earlier.append(other[k])
-        lag += 1
-        live = live[(live - lag >= first[live]) & ~more[live]]
-    if not later:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), more
-    return np.concatenate(later), np.concatenate(earlier), more
+    pairs = []
+    if few is not None:
+        large = x[(high - low)[x] > NEAR]
+        near = met(large, np.maximum(low[large], large - NEAR), np.minimum(high[large], large))
+        done = np.bincount(near[0], minlength=len(word)) >= max(1, few)
+        pairs.append(tuple(c[done[near[0]]] for c in near))
+        more |= done
+        x = x[~done[x]]
+    pairs.append(met(x, low[x], high[x]))
+    x, y, apart = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    if few is not None:
+        order = np.lexsort((y, apart, x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(heads(x))
+        nth = np.arange(len(x)) - np.repeat(first, np.diff(np.concatenate([first, [len(x)]])))
+        more[x[nth >= few]] = True
+        x, y = x[nth < few], y[nth < few]
+    return x, y, more
 
 
 def _meet(percent: int, few: int | None):
@@ -160,16 +221,16 @@ def _meet(percent: int, few: int | None):
         doc, row, line = unpack(gone, _GONE)
         if len(doc):
             yield out(_IS_GONE, doc, row, line)
-        word, set_, map_a, map_b, doc, row, line, size, place = unpack(blobs, _PREFIX)
+        word, set_, map_a, map_b, doc, row, line, size, place, probe = unpack(blobs, _PREFIX)
         order = np.lexsort((row, line, doc, set_, word))
         new = heads(word[order], set_[order])
         again = order[~new & (place[order] == 0)]
         if len(again):
             yield out(_IS_GONE, doc[again], row[again], line[again])
-        order = order[new]
-        order = order[np.lexsort((row[order], line[order], doc[order], word[order]))]
-        word, map_a, map_b, doc, row, line, size, place = (c[order] for c in (word, map_a, map_b, doc, row, line, size, place))
-        x, y, more = _candidates(word, map_a, map_b, size, place, percent, few)
+        order = order[new]  # lines of a word: by set, each once
+        order = order[np.lexsort((line[order], doc[order], size[order], word[order]))]
+        word, map_a, map_b, doc, row, line, size, place, probe = (c[order] for c in (word, map_a, map_b, doc, row, line, size, place, probe))
+        x, y, more = _candidates(word, map_a, map_b, doc, row, line, size, place, probe, percent, few)
         if len(x):
             yield out(_IS_PAIR, doc[x], row[x], line[x], doc[y], row[y], line[y], more[x])
 
@@ -194,8 +255,11 @@ def _matched(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["doc", "row", "line"]).filter(pa.array(good, pa.bool_()))
 
     later, earlier = pairs.select("doc", "row", "line"), pairs.select(F.col("doc2").alias("doc"), F.col("row2").alias("row"), F.col("line2").alias("line"))
-    wanted = later.unionByName(earlier).distinct().groupBy("doc", "row").agg(F.collect_list("line").alias("lines"))
-    known = written(texts.select("doc", "row", "text").dropDuplicates(["doc", "row"]).join(wanted, ["doc", "row"]).select("doc", "row", "text", "lines").mapInArrow(lines, "doc long, row int, line int, words string"), "lines")
+    wanted = written(later.unionByName(earlier).distinct().groupBy("doc", "row").agg(F.collect_list("line").alias("lines")), "lines-wanted")
+    if wanted.limit(OPEN_LINES + 1).count() <= OPEN_LINES:  # a second pass: the texts needn't move
+        wanted = F.broadcast(wanted)
+    known = texts.select("doc", "row", "text").join(wanted, ["doc", "row"]).select("doc", "row", "text", "lines").mapInArrow(lines, "doc long, row int, line int, words string")
+    known = written(known, "lines").dropDuplicates(["doc", "row", "line"])  # of repeated rows
     other = known.select(F.col("doc").alias("doc2"), F.col("row").alias("row2"), F.col("line").alias("line2"), F.col("words").alias("words2"))
     both = pairs.join(known, ["doc", "row", "line"]).join(other, ["doc2", "row2", "line2"]).select("doc", "row", "line", "words", "words2")
     return both.mapInArrow(verify, "doc long, row int, line int").distinct()
@@ -214,21 +278,20 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     counts = _counts(texts)
     rank = np.zeros(BUCKETS, np.uint64)
     rank[np.lexsort((np.arange(BUCKETS), counts))] = np.arange(BUCKETS, dtype=np.uint64)
-    gone = None
+    gone, probes, only = None, texts, None
     for few in (FEW, None):
-        met = written(_sent(texts, rank, n, percent).repartition(n, "shard").mapInArrow(_meet(percent, few), _MET), "lines-met")
+        met = written(_sent(probes, rank, n, percent, only).repartition(n, "shard").mapInArrow(_meet(percent, few), _MET), "lines-met")
         pairs = met.where(F.col("kind") == _IS_PAIR).groupBy("doc", "row", "line", "doc2", "row2", "line2").agg(F.max("more").alias("more"))
-        open_ = None if gone is None else left
-        if open_ is not None:
-            pairs = pairs.join(open_, ["doc", "row", "line"], "left_semi")
         matched = written(_matched(pairs, texts, percent), "lines-gone")
-        exact = met.where(F.col("kind") == _IS_GONE).select("doc", "row", "line")
-        gone = exact.unionByName(matched) if gone is None else gone.unionByName(matched)
-        if few is None:
-            break
+        gone = met.where(F.col("kind") == _IS_GONE).select("doc", "row", "line").unionByName(matched) if gone is None else gone.unionByName(matched)
         left = written(pairs.where("more").select("doc", "row", "line").distinct().join(matched, ["doc", "row", "line"], "left_anti"), "lines-open")
         if left.isEmpty():
             break
+        open_ = left.groupBy("doc", "row").agg(F.collect_list("line").alias("open"))
+        if left.limit(OPEN_LINES + 1).count() <= OPEN_LINES:
+            open_ = F.broadcast(open_)
+        probes = texts.join(open_, ["doc", "row"], "left")
+        only = _open_words(probes, rank, percent)
     gone = gone.groupBy("doc", "row").agg(F.collect_set("line").alias("gone"))
     at = names.index("text")
 
