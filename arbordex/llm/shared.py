@@ -48,7 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, "false")
+    conf.set(cleanup, "true")  # this write's shuffle files go as soon as it ends: what it gave is in the table
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(cleanup, before)
     release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
