@@ -22,6 +22,11 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b")))
 
 
+def _digest(e: DataFrame) -> tuple:
+    """Differs for different sets of links, for all practical purposes: their number and two sums of hashes."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).head())
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and its component (the smallest node that links reach) for each node of links (a, b: long). Nodes without links are left out.
 
@@ -29,11 +34,9 @@ def components(links: DataFrame) -> DataFrame:
     very many links has them in a join whose large keys Spark may split, and in sums made before the exchange.
     """
     e = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e = written(e, "links")
-    while True:
-        new = written(_small(_large(e).distinct()).distinct(), "links")
-        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
-            break
-        e = new
+    new, before = written(e, "links"), None
+    while (now := _digest(new)) != before:
+        before = now
+        new = written(_small(_large(new)).distinct(), "links")
     stars = new.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(new.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

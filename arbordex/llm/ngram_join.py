@@ -8,13 +8,15 @@ blocks of 2**32 bits; equal shingles flip the same bit, so the Hamming distance
 difference k. A block is kept as the XOR of the codes of its set bits. With M = k + 1 + slack blocks, linked documents
 have slack + 1 equal blocks at least, by the pigeonhole principle.
 
-Join. Blocks meet by (band, number, value). Blocks without shingles say nothing and aren't sent: of slack + 1 equal blocks one
-is not empty, unless a document has over slack empty ones; only such documents send theirs, too, so no link is lost.
+Join. Blocks meet by (band, number, value); how many classes share a block is its frequency. A document may leave out its slack most
+frequent blocks: of the blocks that two linked documents share, the rarest is among the k + 1 rarest of either. Empty
+blocks and those that only hold a passage of many documents are left out that way, and documents with slack or fewer shared blocks altogether.
 
-Verify. Documents with the same set are one class. In each round a class meets the one member of its blocks' groups with which it
-shares the most blocks; the pairs' texts are compared exactly, and linked classes become components. Groups whose members
-are all in one component are done: a link more would change nothing. When few open groups are left, all their pairs across
-components are compared, so components are exact. A group of copies is never expanded into pairs.
+Verify. Documents with the same set are one class. First, each class meets the one pivot of its blocks' groups with which it shares
+the most blocks; texts of pairs are compared exactly, and linked classes become components. Groups whose members are all in
+one component are done: a link more would change nothing. In the open groups, those outside of the largest component look for their nearest
+member of another one by sketches of BITS bits, whose Hamming distance must allow a link; rounds go on while they find links. At the end, all
+pairs across components that the sketches still allow are compared, so components are exact. A group of copies is never expanded into pairs.
 
 Null and empty texts have no shingles and are linked with nothing; fewer than SIZE words make one shingle. Null doc_id is no
 component's smallest unless it is alone (null then). Rows that repeat are documents of the same class. Ties between pivots go to the larger hash.
@@ -28,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -37,12 +39,13 @@ from .shared import documents, shards, tune, written
 from .words import Rolling, U, hashed, heads, mix, pieces, raw, salted, split
 
 SIZE, PERCENT = 4, 85
-#: Rounds of pivots before the rest is compared pair by pair; more follow while the rest has over REST pairs for each row of it.
-ROUNDS, MOST_ROUNDS, REST = 2, 12, 8
+#: Bits of the sketches that classes of open groups are compared by.
+BITS = 2048
+_TILE = 1 << 19
 _INFO = ["<i8", "<i4", "<i8", "<u8"]  # doc, row, shingles, class
 _BLOCKS = ["<u8", "<u8"]  # block, class
 _MET = "kind int, x long, y long, doc long, row int, n long"
-_IS_INFO, _IS_PAIR, _IS_GROUP = range(3)
+_IS_INFO, _IS_GROUP = range(2)
 _NULL = -(1 << 63)
 
 
@@ -57,11 +60,11 @@ def bands(percent: int) -> np.ndarray:
 
 @cache
 def block_counts(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the sketches for sizes from each band to the next: how many blocks, and how many of them may be empty."""
+    """Of the sketches for sizes from each band to the next: how many blocks, and how many of them may be left out."""
     top = bands(percent)[1:] - 1
     both = top + 100 * top // percent
     k = both * (100 - percent) // (100 + percent)
-    slack = 1 + (3 * (k + 1) + 99) // 100
+    slack = 5 + k
     return np.where(k > 0, k + 1 + slack, 0), slack  # k = 0: only equal sets link, which are one class
 
 
@@ -84,8 +87,8 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_blocks(text: np.ndarray, s: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks that each text sends: text number and code."""
-    starts, (blocks, slack) = bands(percent), block_counts(percent)
+    """The blocks of each text: text number and code. The code's last byte is the band."""
+    starts, (blocks, _) = bands(percent), block_counts(percent)
     out = []
     band = np.searchsorted(starts, n, "right") - 1  # -1: no shingles
     for joint in (band, band - 1):
@@ -96,12 +99,10 @@ def sketch_blocks(text: np.ndarray, s: np.ndarray, n: np.ndarray, percent: int)
         slot = base[of] + ((mix(h ^ salted(31)) >> U(32)) * m[of].astype(np.uint64) >> U(32)).astype(np.int64)
         value = np.zeros(int(m.sum()), np.uint64)
         np.bitwise_xor.at(value, slot, mix(h ^ salted(32)))
-        filled = np.bincount(slot, minlength=len(value)) > 0
         owner = np.repeat(np.arange(len(n)), m)
-        empty = m - np.bincount(owner[filled], minlength=len(n))
-        send = filled | (empty > slack[np.maximum(joint, 0)])[owner]
         number = (np.arange(len(value)) - base[owner]) | joint[owner] << 40
-        out.append((owner[send], mix(value[send] ^ mix(number[send].astype(np.uint64) + salted(33)))))
+        code = mix(value ^ mix(number.astype(np.uint64) + salted(33)))
+        out.append((owner, code & ~U(255) | joint[owner].astype(np.uint64)))
     return np.concatenate([o for o, _ in out]), np.concatenate([c for _, c in out])
 
 
@@ -122,13 +123,13 @@ def _sent(texts: DataFrame, n: int, size: int, percent: int) -> DataFrame:
                 once[np.unique(class_, return_index=True)[1]] = True
                 pick = once[text]
                 owner, code = sketch_blocks(text[pick], s[pick], np.where(once, count, 0), percent)
-                yield pack((code % U(n)).astype(np.int32), [code, class_[owner]])
+                yield pack(((code >> U(8)) % U(n)).astype(np.int32), [code, class_[owner]])
 
     return texts.mapInArrow(run, SCHEMA)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a shard: what is known of documents; classes with the pivots of their groups; groups of several classes."""
+    """Of a shard: what is known of documents; blocks of several classes, with their number."""
     infos, blobs = [], []
     for batch in batches:
         for shard, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -148,15 +149,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code, class_, size = code[several], class_[several], size[size > 1]
     if not len(code):
         return
-    none = lambda k, t: np.zeros(k, t)
-    yield out(_IS_GROUP, code, class_, none(len(code), np.int64), none(len(code), np.int32), none(len(code), np.int64))
-    pivot = np.repeat(class_[np.cumsum(size) - size], size)  # the least class of the group
-    other = class_ != pivot
-    order = np.lexsort((pivot[other], class_[other]))
-    a, b = class_[other][order], pivot[other][order]
-    new = np.flatnonzero(heads(a, b))
-    n = np.diff(np.concatenate([new, [len(a)]]))
-    yield out(_IS_PAIR, a[new], b[new], none(len(new), np.int64), none(len(new), np.int32), n)
+    yield out(_IS_GROUP, code, class_, np.zeros(len(code), np.int64), np.zeros(len(code), np.int32), np.repeat(size, size).astype(np.int64))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -184,12 +177,100 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _kept(blocks: DataFrame, percent: int) -> DataFrame:
+    """Without each class's most frequent blocks, as many in each band as may be left out, and without blocks of one class. blocks: block, class, n."""
+    band = F.col("block").bitwiseAND(F.lit(255)).cast("int")
+    slack = F.element_at(F.array(*[F.lit(int(x)) for x in block_counts(percent)[1]]), F.col("band") + 1)
+    frequent = Window.partitionBy("class", "band").orderBy(F.desc("n"), F.desc("block"))
+    rare = blocks.withColumn("band", band).withColumn("place", F.row_number().over(frequent)).where(F.col("place") > slack).select("block", "class")
+    several = rare.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    return rare.join(several, "block")
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """For each class, the pivot with which it shares the most blocks. pairs: a, b, n."""
     summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
     return summed.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """class, n and a parity sketch of the whole set. texts: class, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, part in pieces(batch.column(1)):
+                text, s = shingle_sets(part, size)
+                bit = mix(s ^ salted(35)) & U(BITS - 1)
+                flips = np.bincount(text * BITS + bit.astype(np.int64), minlength=(hi - lo) * BITS).reshape(hi - lo, BITS) & 1
+                rows = [x.tobytes() for x in np.packbits(flips.astype(np.uint8), axis=1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.bincount(text, minlength=hi - lo).astype(np.int64)), pa.array(rows, pa.binary())], names=["class", "n", "sketch"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, n long, sketch binary")
+
+
+def _near(class_: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of one group: pairs across components that the sketches allow; the nearest one of each class, or all."""
+    _, number, size = np.unique(component, return_inverse=True, return_counts=True)
+    from_ = np.flatnonzero(number != size.argmax())
+    a, b = [], []
+    step = max(1, _TILE // (len(class_) * sketch.shape[1]))
+    for i in range(0, len(from_), step):
+        x = from_[i : i + step]
+        apart = np.bitwise_count(sketch[x][:, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int64)
+        both = n[x][:, None] + n[None, :]
+        ok = (apart <= both - 2 * -(-percent * both // (100 + percent))) & (number[x][:, None] != number[None, :])
+        if all_:
+            k, y = np.nonzero(ok)
+        else:
+            y = np.where(ok, apart, 1 << 40).argmin(1)
+            k = np.flatnonzero(ok[np.arange(len(x)), y])
+            y = y[k]
+        a.append(class_[x[k]])
+        b.append(class_[y])
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _across(open_: DataFrame, n: int, percent: int, all_: bool) -> DataFrame:
+    """Pairs (a, b) of classes of open groups. open_: block, class, component, n, sketch. A group streams by in the order of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            block, class_, component, size = (t.column(i).to_numpy() for i in range(4))
+            sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(block), -1)
+            first = np.flatnonzero(heads(block))
+            a, b = [], []
+            for f, e in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
+                x, y = _near(class_[f:e], component[f:e], size[f:e], sketch[f:e], percent, all_)
+                a.append(x)
+                b.append(y)
+            x, y = np.concatenate(a), np.concatenate(b)
+            if len(x):
+                found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
+
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(block, block[-1])) if len(block) else 0  # where the batch's last group starts
+            if cut:  # a group ends in this batch: what came before is whole
+                held.append(batch.slice(0, cut))
+                yield from pairs()
+                held = []
+            elif held and len(block) and held[-1].column(0)[0].as_py() != block[0]:
+                yield from pairs()
+                held = []
+            if len(block):
+                held.append(batch.slice(cut))
+        yield from pairs()
+
+    dealt = open_.repartition(n, "block").sortWithinPartitions("block", "class")
+    return dealt.select("block", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """A row for each row of docs: doc_id, row (a hash of its text), n_shingles, component_id."""
     spark = docs.sparkSession
@@ -198,35 +279,32 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.hash("text").alias("row"), "text")
     met = written(_sent(texts, n, size, percent).repartition(n, "shard").mapInArrow(_met, _MET), "blocks")
     info = met.where(F.col("kind") == _IS_INFO).select("doc", "row", "n", F.col("x").alias("class"))
-    groups = met.where(F.col("kind") == _IS_GROUP).select(F.col("x").alias("block"), F.col("y").alias("class"))
-    pairs = met.where(F.col("kind") == _IS_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"), "n")
+    groups = written(_kept(met.where(F.col("kind") == _IS_GROUP).select(F.col("x").alias("block"), F.col("y").alias("class"), "n"), percent), "groups")
+    pivots = groups.groupBy("block").agg(F.min("class").alias("b"))
+    pairs = groups.join(pivots, "block").where("class <> b").select(F.col("class").alias("a"), "b", F.lit(1).cast("long").alias("n"))
     some = groups.select("class").distinct()
     standing = info.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("of")).join(some, "class", "left_semi").select("class", "of.*")
     candidates = written(texts.join(standing, ["doc", "row"]).select("class", "text").dropDuplicates(["class"]), "candidates")
-    links = written(_verified(_best(pairs), candidates, size, percent), "links")
-    of = written(components(links), "components")
-    for turn in range(1, MOST_ROUNDS + 1):
+    of = written(components(_verified(_best(pairs), candidates, size, percent)), "components")
+    sketches = all_ = None
+    while True:
         # groups that are still open: their members are in several components
         now = groups.join(of.withColumnRenamed("node", "class"), "class", "left").select("block", "class", F.coalesce("component", "class").alias("component"))
-        open_ = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct(F.xxhash64("class", F.lit(turn)), F.col("class"), F.col("component"))).alias("pivot")).where("least < most")
-        now = written(now.join(open_.select("block", F.col("pivot.class").alias("pivot"), F.col("pivot.component").alias("pivot_component")), "block"), "open")
-        sizes = now.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inner"))
-        rest = sizes.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("inner")) / 2).alias("pairs")).head()
-        if not rest["rows"]:
+        open_ = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
+        now = written(now.join(open_, "block"), "open")
+        if now.isEmpty():
             break
         groups = now.select("block", "class")
-        last = turn >= MOST_ROUNDS or turn >= ROUNDS and rest["pairs"] <= REST * rest["rows"]
-        if last:
-            mine, other = now.select("block", F.col("class").alias("a"), F.col("component").alias("c")), now.select("block", F.col("class").alias("b"), F.col("component").alias("d"))
-            pairs = mine.join(other, "block").where("a < b AND c <> d").select("a", "b").distinct()
-        else:
-            pairs = _best(now.where("component <> pivot_component").select(F.col("class").alias("a"), F.col("pivot").alias("b"), F.lit(1).cast("long").alias("n")))
+        sketches = written(_sketches(candidates.join(groups.select("class").distinct(), "class", "left_semi"), size), "sketches") if sketches is None else sketches
+        pairs = _across(now.join(sketches, "class"), n, percent, bool(all_))
         more = written(_verified(pairs, candidates, size, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            of = written(components(links), "components")
-        if last:
+        none = more.isEmpty()
+        if not none:
+            stars = of.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            of = written(components(stars.unionByName(more)), "components")
+        if all_:
             break
+        all_ = none
     class_ = info.select("class", F.nullif(F.col("doc"), F.lit(_NULL)).alias("doc")).groupBy("class").agg(F.min("doc").alias("doc"))
     class_ = class_.join(of.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = class_.groupBy("component").agg(F.min("doc").alias("least"))
