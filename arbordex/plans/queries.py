@@ -222,12 +222,18 @@ def ag08_hardlinks(spark, sf):
 
 
 def _runs(spark, sf):
+    """The runs of the first 500 parts."""
+    return _all_runs(spark, sf).where("seq <= 500")
+
+
+def _all_runs(spark, sf):
     """Parts as data runs of one table: their sizes are clusters, every seventh is sparse."""
-    p = volumes.table(spark, sf, "part").where("p_partkey <= 500")
+    p = volumes.table(spark, sf, "part")
     return p.select(F.lit("R").alias("drive"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") * 1000).alias("lcn"), F.col("p_size").cast("long").alias("clusters"), (F.col("p_partkey") % 7 == 0).alias("sparse"))
 
 
 _EXTENTS = "e AS (SELECT * FROM (SELECT p_partkey AS seq, p_partkey * 1000 AS lcn, CAST(p_size AS BIGINT) AS clusters, p_partkey % 7 = 0 AS sparse, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS vcn FROM part WHERE p_partkey <= 500) WHERE NOT sparse)"
+_ALL_EXTENTS = "e AS (SELECT * FROM (SELECT p_partkey AS seq, p_partkey * 1000 AS lcn, CAST(p_size AS BIGINT) AS clusters, p_partkey % 7 = 0 AS sparse, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS vcn FROM part) WHERE NOT sparse)"
 
 
 @query(f"WITH {_EXTENTS} SELECT seq, lcn, clusters, vcn, vcn * 4 AS start_record, (vcn + clusters) * 4 - 1 AS end_record FROM e")
@@ -235,6 +241,12 @@ def ag10_extents(spark, sf):
     return extents.coverage(extents.extent_map(_runs(spark, sf)), 4096, 1024).select("seq", "lcn", "clusters", "vcn", "start_record", "end_record")
 
 
+@query(f"WITH {_ALL_EXTENTS} SELECT seq, lcn, clusters, vcn, vcn * 4 AS start_record, (vcn + clusters) * 4 - 1 AS end_record FROM e")
+def ag10_extents_all(spark, sf):
+    """ag10_extents over every part."""
+    return extents.coverage(extents.extent_map(_all_runs(spark, sf)), 4096, 1024).select("seq", "lcn", "clusters", "vcn", "start_record", "end_record")
+
+
 # --- joins ------------------------------------------------------------------------------------------------------------------
 
 
@@ -286,6 +298,14 @@ def jn09_extent_lookup(spark, sf):
     return found.select("record_number", F.col("byte_offset").cast("long").alias("byte_offset"))
 
 
+@query(f"WITH {_ALL_EXTENTS}, q AS (SELECT l_orderkey * 7 + l_linenumber AS record_number FROM lineitem) SELECT record_number, coalesce((e.lcn + record_number // 4 - e.vcn) * 4096 + record_number % 4 * 1024, CAST(786432 AS BIGINT) * 4096 + record_number * 1024) AS byte_offset FROM q LEFT JOIN e ON record_number // 4 >= e.vcn AND record_number // 4 < e.vcn + e.clusters")
+def jn09_extent_lookup_all(spark, sf):
+    """jn09_extent_lookup over every part's extent."""
+    rows = volumes.table(spark, sf, "lineitem").select(F.lit("R").alias("drive"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("record_number"))
+    found = extents.record_offsets(rows, extents.extent_map(_all_runs(spark, sf)), 786432, 4096, 1024, small=False)
+    return found.select("record_number", F.col("byte_offset").cast("long").alias("byte_offset"))
+
+
 # --- set operations ----------------------------------------------------------------------------------------------------------
 
 
