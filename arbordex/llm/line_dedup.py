@@ -17,8 +17,9 @@ verified and that had more are open, and only they meet all of them. No match is
 a line share doesn't bring all their pairs. The words of open lines are broadcast if there are at most OPEN_WORDS of them, so that
 only lines with one of these are sent again; beyond that, all are.
 
-Null text is empty. Null doc_id comes before all others. Rows with the same doc_id are told apart by their texts. An empty table
-gives an empty table.
+Null text is empty. Null doc_id comes before all others. Rows with the same doc_id are told apart by their texts. Rows that repeat
+(same doc_id, or both null, and same text) meet other lines as one row; what stays of it stays in one copy, the others keep only
+their lines without words. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -113,9 +114,12 @@ def _sent(texts: DataFrame, rank: np.ndarray, n: int, percent: int, only: np.nda
                     continue
                 doc, row = ids[lo:hi][text], rows[lo:hi][text]
                 order = np.lexsort((row, line, doc, set_))
-                again = order[~heads(set_[order])]
-                if len(again) and open_ is None:
-                    yield pack(-1 - (mix(doc[again].astype(np.uint64)) % U(n)).astype(np.int32), [doc[again], row[again], line[again]])
+                new = heads(set_[order])
+                again, of_first = order[~new], order[np.flatnonzero(new)[np.cumsum(new) - 1]][~new]
+                twin = (doc[again] == doc[of_first]) & (row[again] == row[of_first]) & (line[again] == line[of_first])
+                gone = again[~twin]  # the first line itself, in a repeated row, stays in one copy
+                if len(gone) and open_ is None:
+                    yield pack(-1 - (mix(doc[gone].astype(np.uint64)) % U(n)).astype(np.int32), [doc[gone], row[gone], line[gone]])
                 once = np.ones(len(text), bool)
                 once[again] = False
                 probe = np.ones(len(text), np.uint8)
@@ -224,7 +228,9 @@ def _meet(percent: int, few: int | None):
         word, set_, map_a, map_b, doc, row, line, size, place, probe = unpack(blobs, _PREFIX)
         order = np.lexsort((row, line, doc, set_, word))
         new = heads(word[order], set_[order])
-        again = order[~new & (place[order] == 0)]
+        of_first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        twin = (doc[order] == doc[of_first]) & (row[order] == row[of_first]) & (line[order] == line[of_first])
+        again = order[~new & ~twin & (place[order] == 0)]
         if len(again):
             yield out(_IS_GONE, doc[again], row[again], line[again])
         order = order[new]  # lines of a word: by set, each once
@@ -265,6 +271,21 @@ def _matched(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify, "doc long, row int, line int").distinct()
 
 
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts with _again: whether an equal row (doc and text) is kept in its place."""
+    keyed = texts.withColumn("_key", F.xxhash64("text"))  # row alone is too short to give up a text for
+    found = written(keyed.where("text IS NOT NULL").groupBy("doc", "_key").agg(F.count("*").alias("n")).where("n > 1").select("doc", "_key"), "repeats")
+    if found.isEmpty():
+        return texts.withColumn("_again", F.lit(False))
+    if found.limit(OPEN_LINES + 1).count() <= OPEN_LINES:
+        found = F.broadcast(found)
+    copies = written(keyed.join(found, ["doc", "_key"]).withColumn("_copy", F.monotonically_increasing_id()), "copies")  # written: the numbers have to last
+    first = copies.groupBy("doc", "_key").agg(F.min("_copy").alias("_copy")).select("_copy", F.lit(False).alias("_again"))
+    copies = copies.join(first, "_copy", "left").withColumn("_again", F.coalesce("_again", F.lit(True)))
+    rest = keyed.join(found, ["doc", "_key"], "left_anti").withColumn("_again", F.lit(False))
+    return rest.drop("_key").unionByName(copies.drop("_key", "_copy"))
+
+
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with their text without the removed lines, and n_lines and n_removed (columns of these names are replaced)."""
     spark = docs.sparkSession
@@ -298,8 +319,10 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, total, removed = [], [], []
-            for t, lines in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for t, lines, again in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                 parts = [] if t is None else t.split("\n")
+                if again:
+                    lines = [i for i, p in enumerate(parts) if p.strip(" \t\n\v\f\r")]
                 total.append(len(parts))
                 removed.append(len(lines or ()))
                 if lines:
@@ -311,7 +334,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_lines", "n_removed"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return texts.join(gone, ["doc", "row"], "left").select(*names, "gone").mapInArrow(apply, schema)
+    return _numbered(texts).join(gone, ["doc", "row"], "left").select(*names, "gone", "_again").mapInArrow(apply, schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

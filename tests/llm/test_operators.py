@@ -365,6 +365,17 @@ def test_line_dedup_of_near_lines(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(brute.line_dedup(rows))
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_line_dedup_of_repeated_rows(spark, parts):
+    """Of rows that repeat, one keeps its lines; equal texts of null doc_id are such rows."""
+    rows = [(3, "a b c\n\nd e f\na b c")] * 3 + [(None, "g h i\nj k l")] * 2 + [(None, "m n o"), (1, "p q r\ng h i"), (1, "p q r"), (2, None), (2, None), (2, ""), (2, "")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+    want = [(3, "a b c\n\nd e f", 4, 1), (3, "", 4, 3), (3, "", 4, 3), (None, "g h i\nj k l", 2, 0), (None, "", 2, 2), (None, "m n o", 1, 0), (2, None, 0, 0), (2, None, 0, 0), (2, "", 1, 0), (2, "", 1, 0)]
+    assert [r for r in table(got) if r[0] != 1] == sorted(want, key=repr)
+    ones = sorted(r.text for r in got.where("doc_id = 1").collect())
+    assert ones in (["", "p q r"], ["", ""]) and "\n".join(ones).count("p q r") == 1
+
+
 # --- url filter --------------------------------------------------------------------------------------------------------------------------------
 
 
