@@ -5,7 +5,7 @@ rule that fits decides. For all other urls the method decides:
 
 1. A url's items are its host's labels, the words of its path (numbers left out), its ending, and the names in its query.
 2. Labelled pages are transactions of their items and, where the label says so, of BLOCK. Spark's FP-growth mines the combinations that
-   at least SUPPORT of the transactions hold; rules of the form items -> BLOCK with a confidence of CONFIDENCE or more stay, but for
+   at least SUPPORT of the transactions hold, and at least LEAST blocked ones however few are labelled; rules of the form items -> BLOCK with a confidence of CONFIDENCE or more stay, but for
    those that a rule of fewer items makes needless. At most MOST_RULES rules, of the highest confidence, are kept: that bounds
    the model that is sent to the executors.
 3. An inverted index has each rule under its rarest item. A url is blocked if it holds all items of a rule.
@@ -19,6 +19,7 @@ distinct items count, of which mining sees those of labelled pages with at most
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from pyspark.sql import types as T
 from .shared import texts_of, tune
 
 SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Blocked pages that a rule has to hold for at any size of the input: a few may agree by chance.
+LEAST = 20
 MOST_RULES = 10_000
 ITEMS = 64
 BLOCK = "=block"
@@ -85,13 +88,15 @@ def _items(urls: DataFrame) -> DataFrame:
     return urls.select("url", "block").mapInArrow(run, "items array<string>").where(F.size("items").between(1, ITEMS))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[tuple[frozenset[str], float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> list[tuple[frozenset[str], float]]:
     """Rules (items, confidence) from labelled pages: url, block."""
     tune(labelled.sparkSession)
     transactions = _items(labelled)
-    if transactions.isEmpty():
+    n = transactions.count()
+    if n < least or not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(transactions)
+    enough = max(least, math.ceil(support * n))
+    model = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / n, minConfidence=confidence).fit(transactions)
     rules = model.associationRules.where(F.array_contains("consequent", BLOCK)).select("antecedent", "confidence")
     best = rules.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(MOST_RULES).collect()
     kept: list[tuple[frozenset[str], float]] = []

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
+from itertools import combinations
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -78,3 +81,12 @@ def line_dedup(rows: list[tuple], percent: int = 80) -> list[tuple]:
         if i not in gone:
             kept[d].append(line)
     return [(d, "\n".join(kept[d])) for d, _ in rows]
+
+
+def url_rules(rows: list[tuple], support: float, confidence: float, least: int) -> set[frozenset]:
+    """rows: (items, block). The smallest sets of items that enough pages hold, most of them blocked."""
+    subsets = lambda x: (frozenset(c) for k in range(1, len(x) + 1) for c in combinations(x, k))
+    blocked = Counter(c for x, b in rows if b for c in subsets(x))
+    enough = max(least, math.ceil(support * len(rows)))
+    rules = {c for c, n in blocked.items() if n >= enough and n >= confidence * sum(c <= set(x) for x, _ in rows)}
+    return {c for c in rules if not any(r < c for r in rules)}

@@ -411,6 +411,19 @@ def test_url_mining(spark):
     assert {r.url: r.block for r in url_filter.labelled_pages(pages, labels).collect()} == {rows[0][0]: False, rows[1][0]: True, rows[2][0]: True, rows[3][0]: False}
 
 
+@pytest.mark.parametrize("n", [100, 1000])
+def test_url_rules_need_many_pages(spark, n):
+    """By chance no rule, whatever the size; otherwise those of the plain miner."""
+    rng = random.Random(n)
+    urls = [f"http://{rng.choice('abcdefgh')}.site{rng.randrange(n // 4)}.org/{rng.choice('uvwxyz')}/{rng.choice('klmn')}" for _ in range(n)]
+    chance = [(u, rng.random() < 0.25) for u in urls]
+    assert url_filter.mine(spark.createDataFrame(chance, "url string, block boolean")) == []
+    rows = [(u.replace("http://", "http://bad.") if i % 3 == 0 else u, i % 3 == 0 and i % 4 > 0 or b) for i, (u, b) in enumerate(chance)]
+    rows += [(f"http://x/{i}", False) for i in range(3)]
+    got = url_filter.mine(spark.createDataFrame(rows, "url string, block boolean"))
+    assert {r for r, _ in got} == brute.url_rules([(url_filter.items(u), b) for u, b in rows], url_filter.SUPPORT, url_filter.CONFIDENCE, url_filter.LEAST) != set()
+
+
 def test_pieces_cover_all_texts():
     from arbordex.llm import words
 
