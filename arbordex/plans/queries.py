@@ -149,9 +149,15 @@ def so01_sort_type_topn(spark, sf):
 
 @query(sql.dirs("SELECT w.record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE w.record_number <> 5 ORDER BY lower(d.p) || '\\' || lower(w.name), w.record_number LIMIT 200"))
 def so01_sort_path(spark, sf):
+    return so01_sort_path_all(spark, sf).limit(200)
+
+
+@query(sql.dirs("SELECT w.record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE w.record_number <> 5 ORDER BY lower(d.p) || '\\' || lower(w.name), w.record_number"))
+def so01_sort_path_all(spark, sf):
+    """Every row, sorted."""
     rows = tree.edges(_warehouse_with_parents(spark, sf))
     rows = rows.withColumn("parent_path", F.rtrim("parent_path", F.lit("\\")))
-    return search.sort_by(rows, "path").limit(200).select("record_number", "name", "parent_path")
+    return search.sort_by(rows, "path").select("record_number", "name", "parent_path")
 
 
 @query(sql.w(f"SELECT {_IDS}, file_size FROM w WHERE NOT is_directory AND name <> '' ORDER BY file_size DESC, record_number, parent_record_number, name LIMIT 20"))
