@@ -6,15 +6,15 @@ rule that fits decides. For all other urls the method decides:
 1. A url's items are its host's labels, the words of its path (numbers left out), its ending, and the names in its query.
 2. Labelled pages are transactions of their items and, where the label says so, of BLOCK. Spark's FP-growth mines the combinations that
    at least SUPPORT of the transactions hold, and at least LEAST blocked ones however few are labelled; rules of the form items -> BLOCK with a confidence of CONFIDENCE or more stay, but for
-   those that a rule of fewer items makes needless. At most MOST_RULES rules, of the highest confidence, are kept: that bounds
-   the model that is sent to the executors.
-3. An inverted index has each rule under its rarest item. A url is blocked if it holds all items of a rule.
+   those that a rule of fewer items makes needless. All of these are kept. Items that make rules alone or
+   that the same pages have are set apart first, so their combinations are never mined.
+3. An inverted index has each rule under its rarest item: broadcast for at most MOST_RULES rules, a join beyond. A url is blocked if it holds all items of a rule.
 
 A host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; the path goes on up to ``?``, ``#`` or the end.
 A null url and one without ``://`` have an empty host and path, and no rule fits. Labels: page_id meets doc_id; quality 0 or toxic 1 means
 block; a null counts as no objection; of repeated labels any objection counts. Without labelled pages nothing is mined and the method
 allows all. Rows that repeat are judged one by one; an empty table gives an empty table. Very long urls are read whole; only their
-distinct items count, of which mining sees those of labelled pages with at most ITEMS items.
+distinct items count. Every labelled page counts, with or without items.
 """
 
 from __future__ import annotations
@@ -30,13 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import texts_of, tune
+from .shared import texts_of, tune, written
 
 SUPPORT, CONFIDENCE = 0.002, 0.6
 #: Blocked pages that a rule has to hold for at any size of the input: a few may agree by chance.
 LEAST = 20
 MOST_RULES = 10_000
-ITEMS = 64
 BLOCK = "=block"
 # The rules of the registered query.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -77,34 +76,62 @@ def items(url: str) -> list[str]:
     return sorted(set(found))
 
 
-def _items(urls: DataFrame) -> DataFrame:
-    """urls (url, block) as rows of items."""
+def _items(urls: DataFrame, *names: str) -> DataFrame:
+    """urls with their items: the columns of these names and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [items(u) + [BLOCK] * bool(b) for u, b in zip(texts_of(batch.column(0)).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string()))], names=["items"])
-
-    return urls.select("url", "block").mapInArrow(run, "items array<string>").where(F.size("items").between(1, ITEMS))
+            found = [items(u) for u in texts_of(batch.column(names.index("url"))).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*names, "items"])
+
+    rows = urls.select(*names)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("items", T.ArrayType(T.StringType()))]))
+
+
+def _smallest(rules: DataFrame) -> DataFrame:
+    """rules (items, confidence) that hold no other rule's items."""
+    kept, left = rules.limit(0), written(rules, "rules-left")
+    while not left.isEmpty():
+        k = left.agg(F.min(F.size("items"))).first()[0]
+        now, more = left.where(F.size("items") == k), left.where(F.size("items") > k)
+        inner = now.select(F.element_at("items", 1).alias("key"), F.col("items").alias("inner"))
+        needless = more.select("items", F.explode("items").alias("key")).join(inner, "key").where(F.size(F.array_except("inner", "items")) == 0).select("items").distinct()
+        kept, left = kept.unionByName(now), written(more.join(needless, "items", "left_anti"), "rules-left")
+    return kept
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> list[tuple[frozenset[str], float]]:
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """Rules (items, confidence) from labelled pages: url, block."""
     tune(labelled.sparkSession)
-    transactions = _items(labelled)
-    n = transactions.count()
-    if n < least or not n:
-        return []
-    enough = max(least, math.ceil(support * n))
-    model = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / n, minConfidence=confidence).fit(transactions)
-    rules = model.associationRules.where(F.array_contains("consequent", BLOCK)).select("antecedent", "confidence")
-    best = rules.orderBy(F.desc("confidence"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(MOST_RULES).collect()
-    kept: list[tuple[frozenset[str], float]] = []
-    for r in sorted(best, key=lambda r: (len(r["antecedent"]), -r["confidence"], sorted(r["antecedent"]))):
-        have = frozenset(r["antecedent"])
-        if not any(k <= have for k, _ in kept):
-            kept.append((have, r["confidence"]))
-    return kept
+    pages = written(_items(labelled, "url", "block").select(F.monotonically_increasing_id().alias("id"), "block", "items"), "labelled")
+    n = pages.count()
+    enough = max(1, least, math.ceil(support * n))
+    long = pages.select("id", "block", F.explode("items").alias("item"))
+    a, b = F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b")
+    each = written(long.groupBy("item").agg(F.count("*").alias("pages"), F.count_if("block").alias("blocked"), a, b).where(F.col("blocked") >= enough), "items")
+    share = F.col("blocked") / F.col("pages")
+    rules = each.where(share >= confidence).select(F.array("item").alias("items"), share.alias("confidence"))
+    # What an item of these blocks needs no other; items of the same pages can stand for each other.
+    classes = written(each.where(share < confidence).groupBy("pages", "blocked", "a", "b").agg(F.min("item").alias("class"), F.collect_list("item").alias("members")).select("class", "members"), "classes")
+    rows = long.join(classes.select("class", F.explode("members").alias("item")), "item").groupBy("id", "block").agg(F.collect_set("class").alias("items"))
+    rows = written(rows.select(F.when(F.col("block"), F.array_append("items", F.lit(BLOCK))).otherwise(F.col("items")).alias("items")), "transactions")
+    m = rows.count()
+    if m < enough:
+        return rules
+    model = FPGrowth(itemsCol="items", minSupport=(enough - 0.5) / m, minConfidence=confidence).fit(rows)
+    found = _smallest(model.associationRules.where(F.array_contains("consequent", BLOCK)).select(F.array_sort("antecedent").alias("items"), "confidence"))
+    lists = found.select("items", "confidence", F.explode("items").alias("class")).join(classes, "class").groupBy("items", "confidence").agg(F.collect_list("members").alias("lists"))
+    every = F.expr("aggregate(lists, array(cast(array() as array<string>)), (x, m) -> flatten(transform(x, y -> transform(m, z -> array_append(y, z)))))")
+    return rules.unionByName(lists.select(F.explode(every).alias("items"), "confidence").select(F.array_sort("items").alias("items"), "confidence"))
+
+
+def _listed(rules: DataFrame) -> list[tuple[frozenset[str], float]]:
+    found = [(sorted(r["items"]), r["confidence"]) for r in rules.collect()]
+    return [(frozenset(i), c) for i, c in sorted(found, key=lambda r: (len(r[0]), -r[1], r[0]))]
+
+
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> list[tuple[frozenset[str], float]]:
+    return _listed(mined(labelled, support, confidence, least))
 
 
 def index_of(rules: list[tuple[frozenset[str], float]]) -> dict[str, list[frozenset[str]]]:
@@ -116,12 +143,24 @@ def index_of(rules: list[tuple[frozenset[str], float]]) -> dict[str, list[frozen
     return index
 
 
-def judge(pages: DataFrame, rules: list[tuple[frozenset[str], float]], fixed: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def _met(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """url and mined of the urls that a rule blocks: a join on each rule's rarest item."""
+    long = rules.select("items", F.explode("items").alias("key"))
+    common = long.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = long.join(common, "key").groupBy("items").agg(F.min(F.struct("n", "key"))["key"].alias("key")).select("key", F.col("items").alias("rule"))
+    urls = _items(pages.select("url").where("url IS NOT NULL").distinct(), "url")
+    hits = urls.select("url", "items", F.explode("items").alias("key")).join(keyed, "key").where(F.size(F.array_except("rule", "items")) == 0)
+    return hits.groupBy("url").agg(F.min(F.array_join(F.array_sort("rule"), " ")).alias("mined"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[frozenset[str], float]] | DataFrame, fixed: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """pages with host, path, rule, verdict and mined (the items of the mined rule that blocks the url)."""
     spark = pages.sparkSession
     tune(spark)
     pages = pages.drop("host", "path", "rule", "verdict", "mined")
     names = pages.columns
+    if isinstance(rules, DataFrame):
+        return _verdicts(pages.join(_met(pages, rules), "url", "left").select(*names, "mined"), fixed)
     index = spark.sparkContext.broadcast(index_of(rules))  # MOST_RULES rules at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +172,10 @@ def judge(pages: DataFrame, rules: list[tuple[frozenset[str], float]], fixed: tu
                 found.append(hits[0] if hits else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*names, "mined"])
 
-    rows = pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("mined", T.StringType())]))
+    return _verdicts(pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("mined", T.StringType())])), fixed)
+
+
+def _verdicts(rows: DataFrame, fixed: tuple[tuple[str, str], ...]) -> DataFrame:
     rows = rows.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     found = fixed_rule(F.col("host"), F.col("path"), fixed)
     method = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
@@ -148,5 +190,6 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = mine(labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined")
+    rules = written(mined(labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "rules")
+    few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
+    return judge(pages, _listed(rules) if few else rules).select("page_id", "host", "path", "rule", "verdict", "mined")

@@ -424,6 +424,24 @@ def test_url_rules_need_many_pages(spark, n):
     assert {r for r, _ in got} == brute.url_rules([(url_filter.items(u), b) for u, b in rows], url_filter.SUPPORT, url_filter.CONFIDENCE, url_filter.LEAST) != set()
 
 
+def test_url_rules_have_no_cap(spark, monkeypatch, tmp_path):
+    """Shared items don't crowd out other rules, pages of many items count, and the join gives what the broadcast gives."""
+    hot = "&".join(f"q{k}" for k in range(70))
+    kinds = [("http://hot/?" + "&".join(f"h{k}" for k in range(14)), 30, 30), ("http://warm/y", 28, 40), (f"http://long/z?{hot}", 25, 50), (f"http://long/deep?{hot}", 25, 25), ("none", 0, 40)]
+    rows = [(u, i < blocked) for u, blocked, n in kinds for i in range(n)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    got = {r for r, _ in url_filter.mine(labelled)}
+    assert {frozenset([x]) for x in ("host:hot", "query:h13", "host:warm", "path:y", "path:deep", "host:long", "query:q69")} <= got
+    two = [("http://b/x?" + hot, i < 25) for i in range(50)] + [("http://b/w", False)] * 20 + [("http://a/x", False)] * 20 + [("http://b/x", i < 25) for i in range(30)]
+    rules = {r for r, _ in url_filter.mine(spark.createDataFrame(two, "url string, block boolean"))}
+    assert rules == {frozenset(["host:b", "path:x"])}
+    spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows + two)] + [(9999, None), (0, rows[0][0])], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(not b), 0) for i, (_, b) in enumerate(rows + two)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    few = table(url_filter.op10_url_filter(spark, str(tmp_path)))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 3)
+    assert table(url_filter.op10_url_filter(spark, str(tmp_path))) == few and len(few) == len(rows + two) + 2
+
+
 def test_pieces_cover_all_texts():
     from arbordex.llm import words
 
