@@ -81,9 +81,20 @@ def texts_of(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
+def free(taken: list[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever the case."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(text: str = "text"):
     """Tells rows with the same doc_id apart; equal rows may share it."""
     return F.xxhash64(F.col(text))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "documents", "release", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "documents", "free", "release", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
-from arbordex.llm import bpe, exact_dedup, fingerprints, language_id, lexicon, line_dedup, mixing, ngram_join, substring_dedup, token_counts, url_filter  # noqa: E402
+from arbordex.llm import bpe, exact_dedup, fingerprints, language_id, lexicon, line_dedup, mixing, ngram_join, packed, sieve, substring_dedup, token_counts, url_filter  # noqa: E402
 from arbordex.llm.components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -376,6 +376,51 @@ def test_line_dedup_of_repeated_rows(spark, parts):
     assert ones in (["", "p q r"], ["", ""]) and "\n".join(ones).count("p q r") == 1
 
 
+def test_line_dedup_of_clashing_columns_and_long_texts(spark):
+    """Columns named like the operator's own are kept and change nothing; a text of a million words is read whole."""
+    rng = random.Random(3)
+    line = lambda k: " ".join(f"w{rng.randrange(900)}" for _ in range(k))
+    texts = [line(12) for _ in range(30)]
+    rows = [(i, "\n".join(rng.sample(texts, 4) + [line(9)])) for i in range(40)]
+    rows += [(50, line(200_000) + "\n" + texts[0] + "\n" + "\n".join(line(8) for _ in range(100_000)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    names = ["doc", "row", "open", "gone", "lost", "again", "line", "words", "copy", "key"]
+    got = line_dedup.dedup_lines(docs.select("*", *[(F.col("doc_id") % 3).alias(c) for c in names]))
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    found = got.collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert all(r[c] == r.doc_id % 3 for r in found for c in names)
+    want = dict(brute.line_dedup([r for r in rows if r[0] < 50]))
+    assert {r.doc_id: r.text for r in found if r.doc_id < 50} == want
+    assert [r.n_lines for r in found if r.doc_id == 50] == [100_002]
+
+
+def test_line_dedup_of_hot_words_and_full_filters(spark, docs, rows, monkeypatch):
+    """Words dealt by size, filters that let nearly everything through, and small pieces change nothing."""
+    for name, value in (("HOT", 0), ("GATHER", 50), ("PART", 100), ("_BLOCK", 7), ("NEAR", 2), ("FEW", 1)):
+        monkeypatch.setattr(line_dedup, name, value)
+    monkeypatch.setattr(sieve, "MOST", 1 << 12)
+    monkeypatch.setattr(sieve.sieve, "__defaults__", (1 << 12,))
+    assert sorted((r.doc_id, r.text or "") for r in line_dedup.dedup_lines(docs).collect()) == sorted(brute.line_dedup([r[:2] for r in rows]))
+
+
+def test_sieve(spark):
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("k"))
+    table = sieve.sieve(keys, 1000)
+    known = np.array([r.k for r in keys.collect()]).view(np.uint64)
+    other = np.array([r.k for r in spark.range(1, 9000, 3).select(F.xxhash64("id").alias("k")).collect()]).view(np.uint64)
+    assert sieve.passes(table, known).all() and sieve.passes(table, other).mean() < 0.05
+
+
+@pytest.mark.parametrize("n", [1, 7, 211])
+def test_parts_are_dealt_as_spark_does(spark, n):
+    above, below = packed.deal(n)
+    for tags in (above, below):
+        got = spark.createDataFrame([(int(x),) for x in tags], "shard int").select(F.pmod(F.hash("shard"), F.lit(n)).alias("p")).collect()
+        assert [r.p for r in got] == list(range(n))
+    assert (above >= 0).all() and (below < 0).all()
+
+
 # --- url filter --------------------------------------------------------------------------------------------------------------------------------
 
 
