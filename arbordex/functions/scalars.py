@@ -188,3 +188,8 @@ def parse_scope(query: str) -> tuple[str | None, str]:
 def parse_csv_fields(line: str) -> list[str]:
     """FN07: commas outside quotes separate; quotes around a field go; doubled quotes have no meaning."""
     return [f.strip('"') for f in re.split(r',(?=(?:[^"]*"[^"]*")*[^"]*$)', line)]
+
+
+def csv_fields(line: Column) -> Column:
+    """FN07 as a column."""
+    return F.transform(F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda f: F.trim(f, F.lit('"')))

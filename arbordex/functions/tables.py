@@ -57,6 +57,8 @@ DEPTH_BACKGROUNDS = ["8,22,28", "12,24,10", "26,22,8", "24,12,24", "10,16,30", "
 PHASES = ["Initializing", "USN Enumeration", "MFT Reading", "Building Tree", "Calculating Sizes", "Complete"]
 DATE_MODES = ["None", "After", "Before", "Between"]
 SIZE_MODES = ["None", ">", "<", "Between"]
+# The labels of the columns that results are sorted by.
+SORT_LABELS = {"name": "Name", "path": "Path", "size": "Size", "extension": "Ext", "date": "Date Modified", "type": "Type"}
 
 
 def cycled(modes: list[str], mode: str, step: int = 1) -> str:

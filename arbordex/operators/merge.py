@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import format_size
 from .tree import KEY
 
 _TIMES = ["file_reference_number", "creation_time", "modification_time"]
@@ -90,3 +91,21 @@ def last_rows(rows: DataFrame) -> DataFrame:
 def usn_counts(rows: DataFrame) -> DataFrame:
     """AG04"""
     return rows.groupBy("drive").agg(F.count_if(~F.col("is_directory")).alias("files"), F.count_if("is_directory").alias("directories"), F.count("*").alias("total"), F.max("record_number").alias("max_record"))
+
+
+def changes_by_drive(rows: DataFrame) -> DataFrame:
+    """AG07: pending changes by volume: how many, of how many records, and the stretch of the journal they are from."""
+    return rows.groupBy("drive").agg(F.count("*").alias("changes"), F.count_distinct("record_number").alias("records"), F.min("usn").alias("first_usn"), F.max("usn").alias("last_usn"))
+
+
+def counted(nodes: DataFrame) -> DataFrame:
+    """AG11: how many rows each volume has; an empty table gives none (nodes.isEmpty() says so at once)."""
+    return nodes.groupBy("drive").agg(F.count("*").alias("length"))
+
+
+def selection(results: DataFrame, selected: DataFrame, cursor: bool = True) -> DataFrame:
+    """AG05: how many results there are and how many of them are selected; without any, the cursor's row counts as one."""
+    marks = selected.select(*KEY).distinct().withColumn("_chosen", F.lit(True))
+    found = results.join(marks, KEY, "left").agg(F.count("*").alias("objects"), F.count_if(F.coalesce("_chosen", F.lit(False))).alias("selected"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
+    found = found.withColumn("selected", F.greatest("selected", F.lit(int(cursor)).cast("long")))
+    return found.withColumn("label", F.concat(F.lit(" "), F.col("objects").cast("string"), F.lit(" objects | "), F.col("selected").cast("string"), F.lit(" selected | "), format_size(F.col("total_size")), F.lit(" total")))

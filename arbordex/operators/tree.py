@@ -1,43 +1,42 @@
 """The directory tree: links, orphans, paths, roll-up, statistics.
 
 A directory's ancestors are found by doubling: each round, a chain that ends at directory x takes over x's chain, so a tree of depth d
-takes log2(d) joins of directories only. Files never take part; they meet their directory's chain in one join at the end.
-Chains that reach neither the root nor a missing parent within MAX_DEPTH are cycles.
+takes log2(d) joins of directories only, whatever d is. Chains that have reached the root or a missing parent take no part in later
+rounds but as what others end at. A chain that comes to a directory again is a cycle. Files never take part; they meet their directory's path, one
+string, in one join at the end.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import ROOT
+from ..storage import shared_folder, stored_at
 
-MAX_DEPTH = 64
 KEY = ["drive", "record_number", "parent_record_number"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder (checkpoint() would compute it twice). The folder is set only where it is unset."""
-    session = df.sparkSession
-    folder = session.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = session.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="arbordex-")
-        if not known.isDefined():
-            session.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    """df, written once to the shared checkpoint folder (checkpoint() would compute it twice)."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return session.read.schema(df.schema).parquet(path)
+    return stored_at(df.sparkSession, path, df.schema)
 
 
 def dedup(nodes: DataFrame) -> DataFrame:
-    """ST02: of rows with the same parent and name (whatever its case), the first by source, record and content stays."""
+    """ST02: of rows with the same parent and name (whatever its case), the first by source, record and content stays.
+
+    One aggregation, begun before the exchange: the least of each group by that order.
+    """
     rank = F.when(F.col("source") == "usn", 0).when(F.col("source") == "mft", 1).otherwise(2)
-    order = Window.partitionBy("drive", "parent_record_number", F.lower("name")).orderBy(rank, "record_number", "name", "file_size", "allocated_size", "attributes", "creation_time", "modification_time", "file_reference_number")
-    return nodes.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    first = ["record_number", "name", "file_size", "allocated_size", "attributes", "creation_time", "modification_time", "file_reference_number"]
+    rest = [c for c in nodes.columns if c not in (*first, "drive", "parent_record_number")]
+    least = F.min(F.struct(rank.alias("_rank"), *first, *rest)).alias("_row")
+    found = nodes.groupBy("drive", "parent_record_number", F.lower("name").alias("_lower")).agg(least)
+    return found.select("drive", "parent_record_number", *[F.col("_row")[c].alias(c) for c in (*first, *rest)]).select(*nodes.columns)
 
 
 def records(nodes: DataFrame) -> DataFrame:
@@ -68,26 +67,31 @@ def orphans(nodes: DataFrame) -> DataFrame:
     return nodes.where(~F.col("parent_record_number").isin(0, ROOT)).join(have, ["drive", "parent_record_number"], "left_anti")
 
 
-def directory_chains(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """For each directory: drive, record, ancestors (itself first), names (alike), state: root, missing (a parent isn't there) or cycle."""
+def directory_chains(nodes: DataFrame) -> DataFrame:
+    """For each directory: drive, record, ancestors (itself first), path, depth, state: root, missing (a parent isn't there) or cycle."""
     dirs = records(nodes.where("is_directory")).select("drive", F.col("record_number").alias("record"), F.col("parent_record_number").alias("top"), "name")
     root = F.col("record") == ROOT
-    chains = dirs.select("drive", "record", "top", F.array("record").alias("ancestors"), F.when(root, F.array().cast("array<string>")).otherwise(F.array("name")).alias("names"), F.when(root, "root").when(F.col("top") == 0, "missing").alias("state"))
-    span = 1
-    while span <= max_depth:
-        chains = cut_lineage(chains)
-        if chains.where("state IS NULL").isEmpty():
-            return chains
-        upper = chains.select("drive", F.col("record").alias("top"), F.col("top").alias("_top"), F.col("ancestors").alias("_ancestors"), F.col("names").alias("_names"), F.col("state").alias("_state"), F.lit(True).alias("_there"))
-        met = chains.where("state IS NULL").join(upper, ["drive", "top"], "left")
-        more = met.select("drive", "record", F.coalesce("_top", "top").alias("top"), F.when(F.col("_there"), F.concat("ancestors", "_ancestors")).otherwise(F.col("ancestors")).alias("ancestors"), F.when(F.col("_there"), F.concat("names", "_names")).otherwise(F.col("names")).alias("names"), F.when(F.col("_there"), F.col("_state")).otherwise("missing").alias("state"))
-        chains = chains.where("state IS NOT NULL").unionByName(more)
-        span *= 2
-    chains = cut_lineage(chains)
-    # A chain that ends in a cycle is cut where it would come to a directory again.
-    first = F.size(F.array_distinct("ancestors"))
-    loop = F.col("state").isNull()
-    return chains.withColumns({"names": F.when(loop, F.slice("names", F.lit(1), first)).otherwise(F.col("names")), "ancestors": F.when(loop, F.slice("ancestors", F.lit(1), first)).otherwise(F.col("ancestors")), "state": F.coalesce("state", F.lit("cycle"))})
+    state = F.when(root, "root").when(F.col("top") == 0, "missing")
+    open_ = dirs.select("drive", "record", "top", F.array("record").alias("ancestors"), F.when(root, F.array().cast("array<string>")).otherwise(F.array("name")).alias("names"), state.alias("state"))
+    done: DataFrame | None = None
+    while True:
+        now = cut_lineage(open_)
+        closed, open_ = now.where("state IS NOT NULL"), now.where("state IS NULL")
+        done = closed if done is None else done.unionByName(closed)
+        if open_.isEmpty():
+            break
+        upper = done.unionByName(open_).select("drive", F.col("record").alias("top"), F.col("top").alias("_top"), F.col("ancestors").alias("_ancestors"), F.col("names").alias("_names"), F.coalesce("state", F.lit("open")).alias("_state"))
+        met = open_.join(upper, ["drive", "top"], "left")
+        there = F.col("_state").isNotNull()
+        ancestors = F.when(there, F.concat("ancestors", "_ancestors")).otherwise(F.col("ancestors"))
+        names = F.when(there, F.concat("names", "_names")).otherwise(F.col("names"))
+        more = met.select("drive", "record", F.coalesce("_top", "top").alias("top"), ancestors.alias("ancestors"), names.alias("names"), F.coalesce(F.nullif("_state", F.lit("open")), F.when(~there, "missing")).alias("state"))
+        # A chain that comes to a directory again is cut there.
+        first = F.size(F.array_distinct("ancestors"))
+        again = first < F.size("ancestors")
+        cut = {c: F.when(again, F.slice(c, F.lit(1), first)).otherwise(F.col(c)) for c in ("ancestors", "names")}
+        open_ = more.withColumns(cut | {"state": F.when(again, "cycle").otherwise(F.col("state"))})
+    return done.select("drive", "record", "ancestors", _path(F.col("drive"), F.col("names")).alias("path"), F.size("names").alias("depth"), "state")
 
 
 def _path(drive: Column, names: Column) -> Column:
@@ -97,13 +101,14 @@ def _path(drive: Column, names: Column) -> Column:
 
 def with_paths(rows: DataFrame, chains: DataFrame) -> DataFrame:
     """JN08: rows with path, parent_path, depth and path_complete. Filter first: only the rows that are left are joined."""
-    parents = chains.select("drive", F.col("record").alias("parent_record_number"), "names", "state")
+    parents = chains.select("drive", F.col("record").alias("parent_record_number"), F.col("path").alias("_path"), F.col("depth").alias("_depth"), F.col("state").alias("_state"))
     met = rows.join(parents, ["drive", "parent_record_number"], "left")
-    names = F.coalesce("names", F.array().cast("array<string>"))
     root = (F.col("record_number") == ROOT) & (F.col("parent_record_number") == ROOT)
-    parent = _path(F.col("drive"), names)
-    path = F.when(root, F.concat("drive", F.lit(":\\"))).otherwise(_path(F.col("drive"), F.concat(F.array("name"), names)))
-    return met.withColumns({"parent_path": parent, "path": path, "depth": F.when(root, 0).otherwise(F.size(names) + 1), "path_complete": root | F.coalesce(F.col("state") == "root", F.lit(False))}).drop("names", "state")
+    top = F.concat("drive", F.lit(":\\"))
+    parent = F.coalesce("_path", top)
+    path = F.when(root, top).when(F.endswith(parent, F.lit("\\")), F.concat(parent, F.col("name"))).otherwise(F.concat(parent, F.lit("\\"), F.col("name")))
+    depth = F.when(root, 0).otherwise(F.coalesce("_depth", F.lit(0)) + 1)
+    return met.withColumns({"parent_path": parent, "path": path, "depth": depth, "path_complete": root | F.coalesce(F.col("_state") == "root", F.lit(False))}).drop("_path", "_depth", "_state")
 
 
 def paths(nodes: DataFrame) -> DataFrame:
@@ -130,7 +135,8 @@ def rollup(nodes: DataFrame, chains: DataFrame | None = None) -> DataFrame:
 
 
 def stats(nodes: DataFrame) -> DataFrame:
-    """AG02, SK03: a row for each drive."""
+    """AG02, SK03: a row for each drive, of one written table."""
+    nodes = cut_lineage(nodes.select(*KEY, "name", "is_directory", "file_size", "allocated_size"))
     file = ~F.col("is_directory")
     lost = orphans(nodes).groupBy("drive").agg(F.count("*").alias("orphaned"))
     unique = records(nodes).groupBy("drive").agg(F.count_if(file).alias("unique_files"), F.coalesce(F.sum(F.when(file, F.col("file_size"))), F.lit(0)).alias("unique_size"))
@@ -144,8 +150,9 @@ def totals(per_drive: DataFrame) -> DataFrame:
 
 
 def largest_directories(rolled: DataFrame, count: int = 20) -> DataFrame:
-    """TK02: reports the total as file_size."""
-    return rolled.where("is_directory").orderBy(F.desc("total_size"), *KEY).limit(count)
+    """TK02, PJ04: the largest directories, with their totals as file_size and allocated_size."""
+    top = rolled.where("is_directory").orderBy(F.desc("total_size"), *KEY).limit(count)
+    return top.withColumns({"file_size": F.col("total_size"), "allocated_size": F.col("total_allocated")})
 
 
 def top_children(rolled: DataFrame, most) -> DataFrame:

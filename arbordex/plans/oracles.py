@@ -25,7 +25,7 @@ W_RAW = "w_raw AS (" + " UNION ALL ".join([
           "round(l_extendedprice * 100)", "32 + CASE WHEN l_suppkey % 7 = 0 THEN 2 ELSE 0 END + CASE WHEN l_partkey % 11 = 0 THEN 4 ELSE 0 END", "false", _ticks("l_shipdate"), _ticks("l_shipdate")) + " FROM lineitem",
 ]) + ")"
 #: ST02 over it.
-W = W_RAW + """, w AS (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY parent_record_number, lower(name) ORDER BY record_number, name, file_size, allocated_size, attributes, creation_time, modification_time) AS n FROM w_raw) WHERE n = 1)"""
+W = W_RAW + """, w AS MATERIALIZED (SELECT * EXCLUDE n FROM (SELECT *, row_number() OVER (PARTITION BY parent_record_number, lower(name) ORDER BY record_number, name, file_size, allocated_size, attributes, creation_time, modification_time) AS n FROM w_raw) WHERE n = 1)"""
 #: Directory paths by recursion.
 DIRS = """, d AS (SELECT record_number, parent_record_number, 'W:' AS p, 0 AS depth, [record_number] AS line FROM w WHERE record_number = 5
   UNION ALL SELECT c.record_number, c.parent_record_number, d.p || '\\' || c.name, d.depth + 1, list_append(d.line, c.record_number) FROM w c JOIN d ON c.parent_record_number = d.record_number WHERE c.is_directory AND c.record_number <> 5)"""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from ..functions import tables
 from ..operators import extents, merge, search, sinks, tree, treemap
 from ..operators.search import SearchSpec
 from ..sources import layouts, scan, volumes
+from ..storage import shared_folder
 from ..streaming import journal
 from . import oracles as sql
 
@@ -31,17 +35,12 @@ def query(oracle: str | None = None):
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.dedup(volumes.warehouse_raw(spark, sf_dir))
-
-
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The warehouse, written: for queries that go over it several times."""
-    return tree.cut_lineage(warehouse(spark, sf_dir))
+    """The nodes of the opened volume."""
+    return volumes.opened(spark, sf_dir)[0]
 
 
 def _warehouse_with_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = stored(spark, sf_dir)
-    return tree.with_paths(nodes, tree.directory_chains(nodes))
+    return tree.with_paths(*volumes.opened(spark, sf_dir))
 
 
 # --- filters --------------------------------------------------------------------------------------------------------------
@@ -124,9 +123,9 @@ def fl14_presets(spark, sf):
     return search.search(warehouse(spark, sf), search.preset("ext:bat;exe;gz", base)).select(*_ID)
 
 
-@query(sql.w("SELECT record_number, name, attributes & 2 <> 0 AS hidden, attributes & 4 <> 0 AS system, attributes & 16 <> 0 AS directory FROM w"))
+@query(sql.w("SELECT record_number, name, attributes & 2 <> 0 AS hidden, attributes & 4 <> 0 AS system, attributes & 16 <> 0 AS directory, attributes & 1 <> 0 AS readonly, attributes & 32 <> 0 AS archive FROM w"))
 def fl15_attributes(spark, sf):
-    bits = {k: fn.has_attribute(F.col("attributes"), v).alias(k) for k, v in search.ATTRIBUTES.items() if k in ("hidden", "system", "directory")}
+    bits = {k: fn.has_attribute(F.col("attributes"), v).alias(k) for k, v in search.ATTRIBUTES.items() if k in ("hidden", "system", "directory", "readonly", "archive")}
     return warehouse(spark, sf).select("record_number", "name", *bits.values())
 
 
@@ -147,13 +146,8 @@ def so01_sort_type_topn(spark, sf):
     return search.page(search.sort_by(warehouse(spark, sf), "type", True), 10, 50).select(*_ID)
 
 
-@query(sql.dirs("SELECT w.record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE w.record_number <> 5 ORDER BY lower(d.p) || '\\' || lower(w.name), w.record_number LIMIT 200"))
-def so01_sort_path(spark, sf):
-    return so01_sort_path_all(spark, sf).limit(200)
-
-
 @query(sql.dirs("SELECT w.record_number, w.name, d.p AS parent_path FROM w JOIN d ON w.parent_record_number = d.record_number WHERE w.record_number <> 5 ORDER BY lower(d.p) || '\\' || lower(w.name), w.record_number"))
-def so01_sort_path_all(spark, sf):
+def so01_sort_path(spark, sf):
     """Every row, sorted."""
     rows = tree.edges(_warehouse_with_parents(spark, sf))
     rows = rows.withColumn("parent_path", F.rtrim("parent_path", F.lit("\\")))
@@ -167,23 +161,21 @@ def tk01_largest_files(spark, sf):
 
 @query(sql.rolled(f"SELECT 'W' AS drive, rolled.record_number, CASE WHEN rolled.record_number = 5 THEN 'W:\\' ELSE d.p END AS path, total_size, {sql.SIZE_TEXT.format('total_size')} AS size_text, file_count, dir_count FROM rolled JOIN d ON d.record_number = rolled.record_number ORDER BY total_size DESC, rolled.record_number LIMIT 20"))
 def tk02_largest_dirs(spark, sf):
-    nodes = stored(spark, sf)
-    chains = tree.directory_chains(nodes)
+    nodes, chains = volumes.opened(spark, sf)
     top = tree.largest_directories(tree.rollup(nodes, chains))
     return tree.with_paths(top, chains).select("drive", "record_number", "path", "total_size", fn.format_size(F.col("total_size")).alias("size_text"), "file_count", "dir_count")
 
 
 @query(sql.rolled(", k AS (SELECT *, row_number() OVER (PARTITION BY parent_record_number ORDER BY total_size DESC, record_number, name) AS rank FROM rolled WHERE record_number <> 5), t AS (SELECT record_number, name, total_size, CAST(1 AS BIGINT) AS rank, 0 AS depth FROM rolled WHERE record_number = 5 UNION ALL SELECT k.record_number, k.name, k.total_size, k.rank, t.depth + 1 FROM k JOIN t ON k.parent_record_number = t.record_number WHERE k.is_directory AND k.rank <= 10 AND t.depth < 3) SELECT record_number, name, total_size, rank, depth FROM t").replace("rolled AS (", "rolled AS MATERIALIZED ("))
 def tk03_tree_size(spark, sf):
-    nodes = stored(spark, sf)
-    chains = tree.directory_chains(nodes)
+    nodes, chains = volumes.opened(spark, sf)
     shown = tree.tree_size(tree.rollup(nodes, chains), chains)
     return shown.select("record_number", "name", "total_size", F.col("rank").cast("long").alias("rank"), "depth")
 
 
 @query(sql.rolled("SELECT parent_record_number, record_number, name, total_size, rank FROM (SELECT *, row_number() OVER (PARTITION BY parent_record_number ORDER BY total_size DESC, record_number, name) AS rank FROM rolled WHERE record_number <> 5) WHERE rank <= 3"))
 def tk04_top_children(spark, sf):
-    top = tree.top_children(tree.rollup(stored(spark, sf)), 3)
+    top = tree.top_children(tree.rollup(*volumes.opened(spark, sf)), 3)
     return top.select("parent_record_number", "record_number", "name", "total_size", F.col("rank").cast("long").alias("rank"))
 
 
@@ -192,7 +184,7 @@ def tk04_top_children(spark, sf):
 
 @query(sql.rolled("SELECT record_number, parent_record_number, total_size, total_allocated, file_count, dir_count FROM rolled"))
 def ag01_rollup(spark, sf):
-    return tree.rollup(stored(spark, sf)).select("record_number", "parent_record_number", "total_size", "total_allocated", F.col("file_count").cast("long").alias("file_count"), F.col("dir_count").cast("long").alias("dir_count"))
+    return tree.rollup(*volumes.opened(spark, sf)).select("record_number", "parent_record_number", "total_size", "total_allocated", F.col("file_count").cast("long").alias("file_count"), F.col("dir_count").cast("long").alias("dir_count"))
 
 
 _LOST = "o AS (SELECT * FROM w WHERE NOT (record_number BETWEEN 100000000 AND 9999999999 AND (record_number - 100000000) % 97 = 0))"
@@ -228,18 +220,12 @@ def ag08_hardlinks(spark, sf):
 
 
 def _runs(spark, sf):
-    """The runs of the first 500 parts."""
-    return _all_runs(spark, sf).where("seq <= 500")
-
-
-def _all_runs(spark, sf):
     """Parts as data runs of one table: their sizes are clusters, every seventh is sparse."""
     p = volumes.table(spark, sf, "part")
     return p.select(F.lit("R").alias("drive"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") * 1000).alias("lcn"), F.col("p_size").cast("long").alias("clusters"), (F.col("p_partkey") % 7 == 0).alias("sparse"))
 
 
-_EXTENTS = "e AS (SELECT * FROM (SELECT p_partkey AS seq, p_partkey * 1000 AS lcn, CAST(p_size AS BIGINT) AS clusters, p_partkey % 7 = 0 AS sparse, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS vcn FROM part WHERE p_partkey <= 500) WHERE NOT sparse)"
-_ALL_EXTENTS = "e AS (SELECT * FROM (SELECT p_partkey AS seq, p_partkey * 1000 AS lcn, CAST(p_size AS BIGINT) AS clusters, p_partkey % 7 = 0 AS sparse, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS vcn FROM part) WHERE NOT sparse)"
+_EXTENTS = "e AS (SELECT * FROM (SELECT p_partkey AS seq, p_partkey * 1000 AS lcn, CAST(p_size AS BIGINT) AS clusters, p_partkey % 7 = 0 AS sparse, CAST(coalesce(sum(p_size) OVER (ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS vcn FROM part) WHERE NOT sparse)"
 
 
 @query(f"WITH {_EXTENTS} SELECT seq, lcn, clusters, vcn, vcn * 4 AS start_record, (vcn + clusters) * 4 - 1 AS end_record FROM e")
@@ -247,12 +233,6 @@ def ag10_extents(spark, sf):
     return extents.coverage(extents.extent_map(_runs(spark, sf)), 4096, 1024).select("seq", "lcn", "clusters", "vcn", "start_record", "end_record")
 
 
-@query(f"WITH {_ALL_EXTENTS} SELECT seq, lcn, clusters, vcn, vcn * 4 AS start_record, (vcn + clusters) * 4 - 1 AS end_record FROM e")
-def ag10_extents_all(spark, sf):
-    """ag10_extents over every part."""
-    return extents.coverage(extents.extent_map(_all_runs(spark, sf)), 4096, 1024).select("seq", "lcn", "clusters", "vcn", "start_record", "end_record")
-
-
 # --- joins ------------------------------------------------------------------------------------------------------------------
 
 
@@ -304,14 +284,6 @@ def jn09_extent_lookup(spark, sf):
     return found.select("record_number", F.col("byte_offset").cast("long").alias("byte_offset"))
 
 
-@query(f"WITH {_ALL_EXTENTS}, q AS (SELECT l_orderkey * 7 + l_linenumber AS record_number FROM lineitem) SELECT record_number, coalesce((e.lcn + record_number // 4 - e.vcn) * 4096 + record_number % 4 * 1024, CAST(786432 AS BIGINT) * 4096 + record_number * 1024) AS byte_offset FROM q LEFT JOIN e ON record_number // 4 >= e.vcn AND record_number // 4 < e.vcn + e.clusters")
-def jn09_extent_lookup_all(spark, sf):
-    """jn09_extent_lookup over every part's extent."""
-    rows = volumes.table(spark, sf, "lineitem").select(F.lit("R").alias("drive"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("record_number"))
-    found = extents.record_offsets(rows, extents.extent_map(_all_runs(spark, sf)), 786432, 4096, 1024, small=False)
-    return found.select("record_number", F.col("byte_offset").cast("long").alias("byte_offset"))
-
-
 # --- set operations ----------------------------------------------------------------------------------------------------------
 
 
@@ -325,7 +297,7 @@ def st01_union(spark, sf):
 
 @query(sql.w(f"SELECT {_IDS}, file_size FROM w"))
 def st02_dedup(spark, sf):
-    return warehouse(spark, sf).select(*_ID, "file_size")
+    return tree.dedup(volumes.warehouse_raw(spark, sf)).select(*_ID, "file_size")
 
 
 # --- scalar functions --------------------------------------------------------------------------------------------------------
@@ -519,7 +491,7 @@ def sr05_next(spark, sf):
 
 @query(f"WITH RECURSIVE {sql.W}, t AS (SELECT 0 AS step, record_number, parent_record_number, name FROM (SELECT * FROM w WHERE NOT is_directory ORDER BY record_number LIMIT 1) UNION ALL SELECT t.step + 1, w.record_number, w.parent_record_number, w.name FROM w JOIN t ON w.record_number = t.parent_record_number WHERE t.record_number <> 5 AND w.is_directory) SELECT step, record_number, parent_record_number, name FROM t")
 def tr01_trace(spark, sf):
-    nodes = stored(spark, sf)
+    nodes = warehouse(spark, sf)
     first = nodes.where("NOT is_directory").agg(F.min("record_number")).head()[0]
     return tree.trace(nodes, "W", first)
 
@@ -546,4 +518,224 @@ def sk03_summary(spark, sf):
 
 @query()
 def tm01_treemap(spark, sf):
-    return treemap.treemap(tree.rollup(stored(spark, sf)))
+    return treemap.treemap(tree.rollup(*volumes.opened(spark, sf)))
+
+
+@query(sql.w("SELECT record_number, total_size AS size, round(total_size / sum(total_size) OVER (), 6) AS area FROM (SELECT r.record_number, CAST(sum(f.file_size) AS BIGINT) AS total_size FROM w r JOIN w n ON n.parent_record_number = r.record_number JOIN w c ON c.parent_record_number = n.record_number JOIN w o ON o.parent_record_number = c.record_number JOIN w f ON f.parent_record_number = o.record_number WHERE r.parent_record_number = 5 AND r.record_number <> 5 GROUP BY 1)"))
+def tm01_areas(spark, sf):
+    """The outermost boxes: each has the share of the square that its size has of all."""
+    boxes = treemap.treemap(tree.rollup(*volumes.opened(spark, sf))).where("depth = 0")
+    return boxes.select("record_number", "size", F.round(F.col("w") * F.col("h"), 6).alias("area"))
+
+
+@query(sql.dirs("SELECT string_agg(d.p, chr(10) ORDER BY d.p COLLATE C) AS paths FROM d WHERE d.depth = 2"))
+def sk06_paths(spark, sf):
+    return sinks.path_list(_warehouse_with_parents(spark, sf).where("depth = 2 AND is_directory"))
+
+
+# --- volume images and journal pages: written from the driver's tables into the shared folder, and read again ------------------------------
+
+
+def _place(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files_at(path: str):
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _image(spark, sf, offset: int = 4096) -> str:
+    """A volume whose records are the suppliers, in three extents of which one holds half a record more than whole ones."""
+    rows = volumes.table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").orderBy("s_suppkey").collect()  # an image of some MB, made for this query
+    cluster, size, keys = 512, 1024, {r.s_suppkey + 1: r for r in rows}
+    last = max(keys, default=0)
+    data = []
+    for n in range(1, last + 1):
+        r = keys.get(n)
+        data.append(layouts.pack_record([layouts.pack_times(1, 2, 32), layouts.pack_name(r.s_nationkey + 100, r.s_name), layouts.pack_attribute(layouts.DATA, b"x" * (n % 50))], number=n) if r else bytes(size))
+    clusters = 2 * (last + 1)
+    a, b = clusters // 3, clusters // 2 + (clusters // 3 + clusters // 2 + 1) % 2
+    runs = [(a, 40, False), (b - a, 40 + 3 * clusters, False), (clusters - b, 40 + clusters, False)]
+    own = layouts.pack_record([layouts.pack_name(5, "table"), layouts.pack_attribute(layouts.DATA, runs=[r for r in runs if r[0]], size=clusters * cluster, allocated=clusters * cluster)])
+    table = b"".join([own, *data])
+    image = bytearray(offset + (40 + 5 * clusters) * cluster)
+    image[offset : offset + 512] = layouts.pack_boot(cluster, 1, len(image) // cluster, 40, 2, -10)
+    at = 0
+    for n, lcn, _ in runs:
+        image[offset + lcn * cluster : offset + (lcn + n) * cluster] = table[at : at + n * cluster]
+        at += n * cluster
+    path = _place(spark, "volume")
+    files, place = _files_at(path)
+    with files.open_output_stream(place) as f:
+        f.write(bytes(image))
+    return path
+
+
+@query("SELECT s_suppkey + 1 AS record_number, CAST(s_nationkey AS BIGINT) + 100 AS parent_record_number, s_name AS name, (s_suppkey + 1) % 50 AS file_size FROM supplier UNION ALL SELECT 0, 5, 'table', CAST(1024 * (max(s_suppkey) + 2) AS BIGINT) FROM supplier")
+def sc04_image(spark, sf):
+    config = scan.ScanConfig("C", offset=4096)
+    raw = scan.image_records(spark, _image(spark, sf), config, "volume", split=16)
+    return scan.scan(raw, config).select(*_ID, "file_size")
+
+
+@query("SELECT s_suppkey + 1 AS record_number, s_name AS name, true AS is_wanted FROM supplier WHERE s_suppkey + 1 IN (3, 7)")
+def sc03_point_reads(spark, sf):
+    raw = scan.image_records(spark, _image(spark, sf), scan.ScanConfig("C", offset=4096), "volume", [3, 7])
+    return scan.checked(raw).join(scan.decode_records(raw).select("record_number", "name"), "record_number").select("record_number", "name", "is_wanted")
+
+
+def _damaged(spark, sf):
+    """Part records of which every fifth isn't in use and every seventh has lost its signature."""
+
+    def pack(key: int, name: str) -> list[tuple]:
+        return [("C", key, layouts.pack_record([layouts.pack_name(5, f"{name}-{key}")], in_use=key % 5 > 0, signature=layouts.FILE_SIGNATURE if key % 7 else 0x44414142))]
+
+    return _packed(volumes.table(spark, sf, "part").select("p_partkey", "p_name"), pack)
+
+
+@query("SELECT p_partkey AS record_number, p_name || '-' || p_partkey AS name FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def fl12_valid_records(spark, sf):
+    return scan.scan(_damaged(spark, sf)).select("record_number", "name")
+
+
+@query("SELECT p_partkey AS record_number, CASE WHEN p_partkey % 7 = 0 THEN 'bad signature' END AS error, p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AS is_valid FROM part")
+def fl16_errors(spark, sf):
+    return scan.decode_records(_damaged(spark, sf)).select("record_number", "error", "is_valid")
+
+
+@query("SELECT p_partkey AS record_number, CAST(5 AS BIGINT) AS parent_record_number, p_name || '-' || p_partkey AS name FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def dc17_parent_info(spark, sf):
+    return scan.parent_info(_damaged(spark, sf)).select(*_ID)
+
+
+@query(f"WITH {_EXTENTS} SELECT p_partkey AS record_number, CASE WHEN p_partkey % 7 = 0 THEN '42414144' ELSE '46494C45' END AS signature, p_partkey // 4 AS vcn, EXISTS (SELECT 1 FROM e WHERE p_partkey // 4 >= e.vcn AND p_partkey // 4 < e.vcn + e.clusters) AS covered, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 THEN p_name || '-' || p_partkey ELSE '' END AS name FROM part")
+def tr02_inspect(spark, sf):
+    e = extents.extent_map(_runs(spark, sf)).withColumn("drive", F.lit("C"))
+    return scan.inspect(_damaged(spark, sf), e, 4096).select("record_number", "signature", "vcn", "covered", "name")
+
+
+def _reported(rows: DataFrame, pack) -> DataFrame:
+    """rows (drive, ...) through a function of the other columns that gives bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [pack(*r) for r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["drive", "data"])
+
+    return rows.mapInArrow(run, "drive string, data binary")
+
+
+@query(f"WITH v AS (SELECT 'V' || s_suppkey AS drive, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 100000 * 4096 END AS t, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey * 1000 * 4096 END AS f, CASE WHEN s_suppkey % 9 > 0 THEN s_suppkey END AS n FROM supplier) SELECT drive, t AS total_bytes, f AS free_bytes, CASE WHEN t IS NULL THEN NULL ELSE {sql.SIZE_TEXT.format('t')} END AS total_text, CASE WHEN f IS NULL THEN NULL ELSE {sql.SIZE_TEXT.format('f')} END AS free_text, n AS estimated_records, n * 7 * 4096 AS mft_offset FROM v")
+def sc19_volumes(spark, sf):
+    def pack(key: int) -> bytes:
+        return layouts.pack_volume(total_clusters=key * 100_000, free_clusters=key * 1000, bytes_per_sector=512, bytes_per_cluster=4096, bytes_per_record=1024, mft_bytes=key * 1024, mft_lcn=key * 7)[: 0x60 if key % 9 else 0x5F]
+
+    rows = volumes.table(spark, sf, "supplier").select(F.concat(F.lit("V"), F.col("s_suppkey").cast("string")).alias("drive"), "s_suppkey")
+    return scan.volumes(_reported(rows, pack)).select("drive", "total_bytes", "free_bytes", "total_text", "free_text", "estimated_records", "mft_offset")
+
+
+@query("SELECT 'V' || s_suppkey AS drive, s_suppkey AS journal_id, s_suppkey * 2 AS first_usn, s_suppkey * 1000 AS next_usn FROM supplier")
+def sc15_journals(spark, sf):
+    rows = volumes.table(spark, sf, "supplier").select(F.concat(F.lit("V"), F.col("s_suppkey").cast("string")).alias("drive"), "s_suppkey")
+    found = scan.journals(_reported(rows, lambda key: layouts.pack_journal(journal_id=key, first_usn=key * 2, next_usn=key * 1000)))
+    return found.select("drive", "journal_id", "first_usn", "next_usn")
+
+
+@query("SELECT 'C' AS drive, count(*) AS \"rows\", false AS failed FROM part UNION ALL SELECT 'D', (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) + (SELECT count(*) FROM orders), false UNION ALL SELECT 'X', 0, true")
+def sc20_drives(spark, sf):
+    rows = lambda: _packed(volumes.table(spark, sf, "orders").select("o_orderkey", "o_custkey"), _extended_record)
+    found, errors = scan.scan_drives({"C": lambda: _part_records(spark, sf), "D": rows, "X": lambda: scan.image_records(spark, f"{shared_folder(spark)}/no such image")})
+    counts = merge.counted(found).select("drive", F.col("length").alias("rows"), F.lit(False).alias("failed"))
+    return counts.unionByName(spark.createDataFrame([(d, 0, True) for d, e in errors.items() if e is not None], counts.schema))
+
+
+@query("SELECT p_partkey AS record_number FROM part")
+def sc10_fallback(spark, sf):
+    found, errors = scan.scan_any({"journal": lambda: journal.pages(spark, f"{shared_folder(spark)}/no such journal"), "table": lambda: scan.scan(_part_records(spark, sf))})
+    return found.select("record_number")
+
+
+@query(sql.w(", o AS (SELECT * FROM w WHERE record_number NOT BETWEEN 1000 AND 1099) SELECT record_number, parent_record_number, name, false AS added FROM o UNION ALL SELECT 1000 + n_nationkey, CAST(100 + n_regionkey AS BIGINT), n_name, true FROM nation WHERE 1000 + n_nationkey IN (SELECT parent_record_number FROM o)"))
+def sc17_parents(spark, sf):
+    """The nations' directories are missing and come from elsewhere."""
+    n = volumes.table(spark, sf, "nation")
+    known = n.select(F.lit("W").alias("drive"), (F.col("n_nationkey") + 1000).cast("long").alias("record_number"), (F.col("n_regionkey") + 100).cast("long").alias("parent_record_number"), F.col("n_name").alias("name"))
+    rows = merge.parent_overlay(warehouse(spark, sf).where("record_number NOT BETWEEN 1000 AND 1099"), known)
+    return rows.select(*_ID, (F.col("source") == "overlay").alias("added"))
+
+
+@query("SELECT c_name AS name, 'ext:' || lower(c_mktsegment) || ';x, y' AS search, c_mktsegment AS macro FROM customer WHERE c_custkey % 10 > 0")
+def sc21_presets(spark, sf):
+    name = F.when(F.col("c_custkey") % 10 > 0, F.col("c_name")).otherwise(F.lit(""))
+    lines = volumes.table(spark, sf, "customer").select(F.concat(F.lit('"'), name, F.lit('",0,0,0,1,0,"ext:'), F.lower("c_mktsegment"), F.lit(';x, y","'), F.col("c_mktsegment"), F.lit('",')).alias("value"))
+    path = _place(spark, "presets")
+    lines.unionByName(spark.createDataFrame([("Name,Case,Whole Word,Path,Diacritics,Regex,Search,Macro,Key",), ('"short",0',), ("",)], "value string")).write.text(path)
+    return scan.read_presets(spark, path)
+
+
+@query("SELECT c_custkey, [c_name, 'x, y', CAST(c_custkey AS VARCHAR), ''] AS fields FROM customer")
+def fn07_csv_fields(spark, sf):
+    rows = volumes.table(spark, sf, "customer")
+    line = F.concat(F.lit('"'), F.col("c_name"), F.lit('","x, y",'), F.col("c_custkey").cast("string"), F.lit(","))
+    return rows.select("c_custkey", fn.csv_fields(line).alias("fields"))
+
+
+@query("WITH t AS (SELECT p_partkey, p_partkey % 360 AS h FROM part), c AS (SELECT *, 0.342 * (1 - abs((h / 60.0 - 2 * floor(h / 120.0)) - 1)) AS x, h // 60 AS s FROM t) SELECT p_partkey, concat_ws(',', CAST(floor((CASE WHEN s IN (0, 5) THEN 0.342 WHEN s IN (1, 4) THEN x ELSE 0 END + 0.209) * 255) AS INTEGER), CAST(floor((CASE WHEN s IN (1, 2) THEN 0.342 WHEN s IN (0, 3) THEN x ELSE 0 END + 0.209) * 255) AS INTEGER), CAST(floor((CASE WHEN s IN (3, 4) THEN 0.342 WHEN s IN (2, 5) THEN x ELSE 0 END + 0.209) * 255) AS INTEGER)) AS rgb, ['0,190,230', '90,200,70', '230,190,40', '210,90,200', '70,140,240', '230,130,50', '130,210,180'][p_partkey % 7 + 1] AS border, ['8,22,28', '12,24,10', '26,22,8', '24,12,24', '10,16,30', '26,16,8', '12,24,20'][p_partkey % 7 + 1] AS background FROM c")
+def fn15_colours(spark, sf):
+    k = F.col("p_partkey")
+    return volumes.table(spark, sf, "part").select(k, fn.hsl_to_rgb(k % 360, 0.45, 0.38).alias("rgb"), tables.depth_colour(k).alias("border"), tables.depth_colour(k, tables.DEPTH_BACKGROUNDS).alias("background"))
+
+
+@query("SELECT s_suppkey, ['None', 'After', 'Before', 'Between'][(s_suppkey + 1) % 4 + 1] AS next_date, ['None', '>', '<', 'Between'][(s_suppkey + 3) % 4 + 1] AS previous_size, ['Initializing', 'USN Enumeration', 'MFT Reading', 'Building Tree', 'Calculating Sizes', 'Complete'][s_suppkey % 6 + 1] AS phase, ['Name', 'Path', 'Size', 'Ext', 'Date Modified', 'Type'][s_suppkey % 6 + 1] AS sort_label FROM supplier")
+def fn25_labels(spark, sf):
+    k = F.col("s_suppkey")
+    mode = lambda table, at: F.element_at(F.create_map(*[F.lit(x) for m in table for x in (m, tables.cycled(table, m, at))]), F.element_at(F.array(*map(F.lit, table)), (k % 4 + 1).cast("int")))
+    pick = lambda labels: F.element_at(F.array(*map(F.lit, labels)), (k % len(labels) + 1).cast("int"))
+    return volumes.table(spark, sf, "supplier").select(k, mode(tables.DATE_MODES, 1).alias("next_date"), mode(tables.SIZE_MODES, -1).alias("previous_size"), pick(tables.PHASES).alias("phase"), pick(list(tables.SORT_LABELS.values())).alias("sort_label"))
+
+
+@query(f"WITH {sql.JOURNAL} SELECT record_number, parent_record_number, name, attributes & 16 <> 0 AS is_directory, CAST(0 AS BIGINT) AS file_size, 'usn' AS source FROM j")
+def pj05_journal_nodes(spark, sf):
+    rows = volumes.journal(spark, sf).withColumn("file_reference_number", F.col("record_number"))
+    return scan.nodes_from_journal(rows).select(*_ID, "is_directory", "file_size", "source")
+
+
+@query(sql.w(f"SELECT CAST(count(*) AS BIGINT) AS objects, CAST(greatest(count_if(file_size > 10224640), 1) AS BIGINT) AS selected, ' ' || count(*) || ' objects | ' || greatest(count_if(file_size > 10224640), 1) || ' selected | ' || {sql.SIZE_TEXT.format('CAST(sum(file_size) AS BIGINT)')} || ' total' AS label FROM w WHERE NOT is_directory"))
+def ag05_selection(spark, sf):
+    files = warehouse(spark, sf).where("NOT is_directory")
+    return merge.selection(files, files.where("file_size > 10224640")).select("objects", "selected", "label")
+
+
+@query(f"WITH {sql.JOURNAL} SELECT drive, CAST(count(*) AS BIGINT) AS changes, CAST(count(DISTINCT record_number) AS BIGINT) AS records, min(usn) AS first_usn, max(usn) AS last_usn FROM c WHERE reason IN ('Modified', 'AttributeChange') GROUP BY drive")
+def ag07_changes(spark, sf):
+    return merge.changes_by_drive(journal.changes(volumes.journal(spark, sf)).where("reason IN ('Modified', 'AttributeChange')"))
+
+
+@query(sql.w("SELECT 'W' AS drive, CAST(count(*) AS BIGINT) AS length FROM w"))
+def ag11_length(spark, sf):
+    return merge.counted(warehouse(spark, sf))
+
+
+def _written_pages(spark, sf, per_page: int = 500) -> str:
+    """The journal as files of pages, named by their first usn."""
+    folder = _place(spark, "journal")
+    files, place = _files_at(folder)
+    files.create_dir(place)
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("usn")
+        first, last = int(part["usn"].iloc[0]), int(part["usn"].iloc[-1])
+        records = [layouts.pack_usn(r.record_number, r.parent_record_number, r.file_name, r.usn, r.timestamp, r.reason_bits, r.attributes) for r in part.rename(columns={"name": "file_name"}).itertuples()]
+        files, at = _files_at(folder)
+        with files.open_output_stream(f"{at}/{first:020d}.bin") as f:
+            f.write(struct.pack("<Q", last + 1) + b"".join(records))
+        return pd.DataFrame({"first": [first]})
+
+    pages = volumes.journal(spark, sf).groupBy(F.floor(F.col("usn") / per_page).alias("page")).applyInPandas(write, "first long")
+    pages.count()
+    return folder
+
+
+@query(f"WITH {sql.JOURNAL} SELECT usn, record_number, name, reason_bits, \"timestamp\" FROM j WHERE usn >= 777 AND reason_bits & {journal.MASK} <> 0")
+def sr01_pages(spark, sf):
+    return journal.pages(spark, _written_pages(spark, sf), "E", 777).select("usn", "record_number", "name", "reason_bits", "timestamp")

@@ -208,6 +208,23 @@ def mft_record(raw: bytes, record: int) -> Entry:
     return e
 
 
+def parent_info(raw: bytes) -> tuple[int, str] | None:
+    """DC17: parent and best name of a record whose sectors' ends are in place; None for what is unused, no record, or without a name."""
+    if len(raw) < 48:
+        return None
+    signature, _, _, _, _, _, first, flags, *_ = _HEADER.unpack_from(raw)
+    if signature != FILE_SIGNATURE or not flags & 1:
+        return None
+    names = []
+    for kind, resident, _, body in _attributes(raw, first):
+        value = _value(body) if kind == FILE_NAME and resident else None
+        if value and len(value) >= _NAME.size:
+            parent, *_, length, space = _NAME.unpack_from(value)
+            if space in RANK and _NAME.size + 2 * length <= len(value):
+                names.append((RANK[space], parent & RECORD_MASK, text(value[_NAME.size : _NAME.size + 2 * length])))
+    return min(names, key=lambda n: n[0])[1:] if names else None
+
+
 def list_entries(raw: bytes):
     """DC12: (attribute type, lowest vcn, name length, record) of each entry."""
     at = 0
@@ -278,11 +295,12 @@ def pack_list(entries: list[tuple[int, int, int]]) -> bytes:
     return pack_attribute(ATTRIBUTE_LIST, b"".join(_LIST.pack(kind, 32, 0, 26, vcn, record, 0).ljust(32, b"\0") for kind, vcn, record in entries))
 
 
-def pack_record(attributes: list[bytes], sequence: int = 1, in_use: bool = True, directory: bool = False, base: int = 0, size: int = 1024, links: int = 1, signature: int = FILE_SIGNATURE) -> bytes:
+def pack_record(attributes: list[bytes], sequence: int = 1, in_use: bool = True, directory: bool = False, base: int = 0, size: int = 1024, links: int = 1, signature: int = FILE_SIGNATURE, number: int = 0) -> bytes:
     sectors = size // SECTOR
     first = (48 + 2 * (sectors + 1) + 7) // 8 * 8
     body = b"".join(attributes) + struct.pack("<II", END, 0)
     out = bytearray(_HEADER.pack(signature, 48, sectors + 1, 0, sequence, links, first, in_use | directory << 1, first + len(body), size, base, 0).ljust(first, b"\0") + body)
+    out[44:48] = struct.pack("<I", number & 0xFFFFFFFF)
     if len(out) > size:
         raise ValueError("the attributes don't fit")
     out = out.ljust(size, b"\0")
@@ -301,5 +319,14 @@ def pack_usn(record: int, parent: int, name: str, usn: int, timestamp: int, reas
     return (layout.pack(length, version, 0, *references, usn, timestamp, reason, 0, 0, attributes, len(raw), layout.size) + raw).ljust(length, b"\0")
 
 
+def pack_volume(**values: int) -> bytes:
+    names = ["serial", "sectors", "total_clusters", "free_clusters", "reserved", "bytes_per_sector", "bytes_per_cluster", "bytes_per_record", "clusters_per_record", "mft_bytes", "mft_lcn", "mirror_lcn", "zone_start", "zone_end"]
+    return _VOLUME.pack(*[values.get(n, 0) for n in names])
+
+
+def pack_journal(**values: int) -> bytes:
+    return _JOURNAL.pack(*[values.get(n, 0) for n in ["journal_id", "first_usn", "next_usn", "lowest_usn", "max_usn", "maximum_size", "allocation_delta"]])
+
+
 def pack_boot(sector: int = 512, per_cluster: int = 8, sectors: int = 1 << 20, mft: int = 786432, mirror: int = 2, record: int = -10, index: int = 1, serial: int = 1, oem: bytes = b"NTFS    ") -> bytes:
     return _BOOT.pack(b"\xebR\x90", oem, sector, per_cluster, sectors, mft, mirror, record, index, serial).ljust(512, b"\0")

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_csv_fields
-from ..operators.merge import expand_links, upsert
+from ..functions.scalars import format_size, parse_csv_fields
+from ..operators.merge import expand_links, union_volumes, upsert
 from ..operators.search import visible
 from ..operators.tree import dedup
 from ..schema import NODES
-from . import layouts
+from . import image, layouts
 
 RAW = "drive string, record_number long, data binary"
 ENTRIES = (
@@ -39,21 +39,74 @@ class ScanConfig:
     strict_links: bool = False
 
 
-def image_records(spark: SparkSession, path: str, config: ScanConfig) -> DataFrame:
-    """SC02, SC04: the records of files that hold an MFT, in pieces of record_size from offset on. A last piece that is too short is left out."""
-    size, offset = config.record_size, config.offset
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def image_records(spark: SparkSession, path: str, config: ScanConfig | None = None, layout: str = "table", records: list[int] | None = None, split: int = image.SPLIT) -> DataFrame:
+    """SC02-SC04: the records of an image in stretches that tasks read on their own. layout: table (an MFT alone) or volume.
+
+    records: only these (SC03, SC16); one that the table doesn't have is an error.
+    """
+    config = config or ScanConfig()
+    image.register(spark)
+    options = {"path": path, "drive": config.drive, "offset": config.offset, "record_size": config.record_size, "layout": layout, "split": split}
+    if records:
+        options["records"] = ",".join(map(str, records))
+    return spark.read.format("volume_image").options(**options).load()
+
+
+def checked(raw: DataFrame) -> DataFrame:
+    """SC16: records with whether each bears its own number (true where it bears none: older volumes don't)."""
+    number = F.conv(F.hex(F.reverse(F.substring("data", 45, 4))), 16, 10).cast("long")
+    return raw.withColumn("is_wanted", (F.octet_length("data") >= 48) & ((number == 0) | (number == F.col("record_number").bitwiseAND(F.lit(0xFFFFFFFF)))))
+
+
+def parent_info(raw: DataFrame) -> DataFrame:
+    """DC17, SC17: best name and parent of directories that are looked up one by one: drive, record_number, parent_record_number, name.
+
+    Records that a system hands out have their sectors' ends put back already (no fixup); unused ones and those without a name are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(1):
-                raw = content.as_py()
-                for first in range(offset, len(raw) - size + 1, 4096 * size):
-                    pieces = [raw[i : i + size] for i in range(first, min(first + 4096 * size, len(raw) - size + 1), size)]
-                    numbers = range((first - offset) // size, (first - offset) // size + len(pieces))
-                    yield pa.RecordBatch.from_arrays([pa.array([config.drive] * len(pieces)), pa.array(numbers, pa.int64()), pa.array(pieces, pa.binary())], names=["drive", "record_number", "data"])
+            drives, numbers, data = (batch.column(i).to_pylist() for i in range(3))
+            found = [(d, n, *info) for d, n, raw in zip(drives, numbers, data, strict=True) if (info := layouts.parent_info(raw or b"")) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["drive", "record_number", "parent_record_number", "name"])
+
+    return raw.select("drive", "record_number", "data").mapInArrow(run, "drive string, record_number long, parent_record_number long, name string")
+
 
-    return files.mapInArrow(run, RAW)
+def inspect(raw: DataFrame, extents: DataFrame, bytes_per_cluster: int, record_size: int = 1024) -> DataFrame:
+    """TR02: what a record's bytes say, beside where the record is: signature, vcn, covered (an extent holds it) and ENTRIES."""
+    vcn = F.floor(F.col("record_number") * record_size / bytes_per_cluster)
+    e = extents.select(F.col("drive").alias("_drive"), F.col("vcn").alias("_start"), (F.col("vcn") + F.col("clusters")).alias("_end"))
+    head = raw.select("drive", "record_number", F.hex(F.substring("data", 1, 4)).alias("signature"), F.octet_length("data").alias("bytes"), vcn.alias("vcn"))
+    inside = (F.col("drive") == F.col("_drive")) & (F.col("vcn") >= F.col("_start")) & (F.col("vcn") < F.col("_end"))
+    covered = head.join(e, inside, "left_semi").select("drive", "record_number").distinct().withColumn("covered", F.lit(True))
+    met = head.join(covered, ["drive", "record_number"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    return met.join(decode_records(raw), ["drive", "record_number"])
+
+
+def volumes(reported: DataFrame) -> DataFrame:
+    """SC14, SC19: the volumes that systems report (drive, data of 0x60 bytes) with total and free bytes; null where the data is too short."""
+    names = ["bytes_per_sector", "bytes_per_cluster", "bytes_per_record", "total_clusters", "free_clusters", "mft_offset", "estimated_records"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layouts.volume_data(d or b"") or {} for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f.get(n) for f in found], pa.int64()) for n in names]], names=["drive", *names])
+
+    rows = reported.select("drive", "data").mapInArrow(run, "drive string, " + ", ".join(f"{n} long" for n in names))
+    return rows.withColumns({f"{k}_bytes": F.col(f"{k}_clusters") * F.col("bytes_per_cluster") for k in ("total", "free")}).withColumns({f"{k}_text": format_size(F.col(f"{k}_bytes")) for k in ("total", "free")})
+
+
+def journals(reported: DataFrame) -> DataFrame:
+    """SC15: what systems report of journals (drive, data of 0x38 bytes); null where the data is too short."""
+    names = ["journal_id", "first_usn", "next_usn", "lowest_usn", "max_usn", "maximum_size", "allocation_delta"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [layouts.journal_data(d or b"") or {} for d in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([None if n not in f else _signed(f[n]) for f in found], pa.int64()) for n in names]], names=["drive", *names])
+
+    return reported.select("drive", "data").mapInArrow(run, "drive string, " + ", ".join(f"{n} long" for n in names))
 
 
 def _signed(value: int) -> int:
@@ -153,19 +206,36 @@ def scan(raw: DataFrame, config: ScanConfig | None = None, journal: DataFrame |
     return dedup(found)
 
 
+def _read(make) -> DataFrame:
+    """The source's rows, after a bounded read that fails where the source would."""
+    rows = make()
+    rows.limit(1).collect()
+    return rows
+
+
 def scan_any(sources: dict[str, object]) -> tuple[DataFrame | None, dict[str, str]]:
-    """SC10, SC20: the first source that works, by name, and why those before it didn't. sources: functions that give a DataFrame."""
+    """SC10: the first source that works, by name, and why those before it didn't. sources: functions that give a DataFrame."""
     errors: dict[str, str] = {}
     for name, make in sources.items():
         try:
-            rows = make()
-            rows.schema  # noqa: B018  raises here if the source can't be read
-            return rows, errors
+            return _read(make), errors
         except Exception as e:  # noqa: BLE001  whatever a source raises is its reason
             errors[name] = str(e)
     return None, errors
 
 
+def scan_drives(sources: dict[str, object]) -> tuple[DataFrame | None, dict[str, str | None]]:
+    """SC20: all volumes that can be read, in one table, and for each drive its error, or None. sources: functions of raw records by drive."""
+    found, result = [], {}
+    for drive, make in sources.items():
+        try:
+            found.append(scan(_read(make).withColumn("drive", F.lit(drive)), ScanConfig(drive=drive)))
+            result[drive] = None
+        except Exception as e:  # noqa: BLE001  a drive that fails doesn't stop the others
+            result[drive] = str(e)
+    return (union_volumes(found) if found else None), result
+
+
 def read_presets(spark: SparkSession, path: str) -> DataFrame:
     """SC21: saved filters: name, search, macro. Lines with under 7 fields or without a name are left out."""
     lines = spark.read.text(path, wholetext=False).where("trim(value) <> ''")

@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import tree
 from ..schema import EPOCH, NODES
+from ..storage import age, stored_at, there
 
 CLUSTER = 4096
 
@@ -83,3 +85,23 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     bits = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v).cast("long")) for k, v in EVENT_BITS.items()], F.lit(0).cast("long"))
     bits = bits + F.when(F.col("event_id") % 3 == 0, F.lit(0x80000000).cast("long")).otherwise(F.lit(0).cast("long"))
     return e.select(F.lit("E").alias("drive"), F.col("user_id").alias("record_number"), (F.col("user_id") % 10 + 100).alias("parent_record_number"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_id")).alias("name"), bits.alias("reason_bits"), F.lit(32).cast("long").alias("attributes"), F.col("event_id").alias("usn"), ticks("ts").alias("timestamp"))
+
+
+_OPENED: dict[tuple, tuple[str, DataFrame, DataFrame]] = {}
+_WAREHOUSE = ("region", "nation", "customer", "orders", "lineitem")
+
+
+def opened(spark: SparkSession, sf_dir: str, fresh: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The warehouse as an opened volume: its nodes, and its directories' chains and paths, written once to the shared folder.
+
+    Like a scan that many searches follow. It is built again if a source file is another one or the session is, or on request.
+    """
+    key = (spark.sparkContext.applicationId, *((t, age(spark, f"{sf_dir}/{t}.parquet")) for t in _WAREHOUSE))
+    path, nodes, chains = _OPENED.get(key, ("", None, None))
+    if fresh or not path or not there(spark, path):
+        nodes = tree.cut_lineage(tree.dedup(warehouse_raw(spark, sf_dir)))
+        chains = tree.cut_lineage(tree.directory_chains(nodes))
+        _OPENED[key] = nodes._arbordex_path, nodes, chains
+        return nodes, chains
+    # Other DataFrame objects each time: a plan that was run isn't run again.
+    return stored_at(spark, path, nodes.schema), stored_at(spark, chains._arbordex_path, chains.schema)

@@ -16,11 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import classify_reason
 from ..schema import REASONS
+from ..sources import image
+from ..sources.image import JOURNAL, MASK
 
-JOURNAL = "drive string, record_number long, parent_record_number long, name string, reason_bits long, attributes long, usn long, timestamp long"
 STATE = "drive string, record_number long, parent_record_number long, name string, attributes long, exists boolean, needs_refresh boolean, last_usn long"
-# Fixed value: the reasons that a monitor asks for.
-MONITORED = ["file_create", "file_delete", "rename_old_name", "rename_new_name", "data_overwrite", "data_extend", "data_truncation", "basic_info_change", "security_change"]
 
 
 def changes(journal: DataFrame) -> DataFrame:
@@ -29,8 +28,26 @@ def changes(journal: DataFrame) -> DataFrame:
     return rows.where((F.col("reason_bits").bitwiseAND(F.lit(REASONS["close"])) != 0) | (F.col("reason") != "Other"))
 
 
+def monitored(journal: DataFrame, mask: int = MASK) -> DataFrame:
+    """SR01: records with at least one of the reasons that a monitor asks for."""
+    return journal.where(F.col("reason_bits").bitwiseAND(F.lit(mask)) != 0)
+
+
+def poll(spark: SparkSession, path: str, drive: str = "C", start: int | str = "latest", mask: int = MASK, pages: int = image.PAGES) -> DataFrame:
+    """SR01, SR04, SR05: a stream over the pages of a journal from a usn, its end (new changes only) or its beginning on; the checkpoint is
+    its position after that."""
+    image.register(spark)
+    return spark.readStream.format("journal_pages").options(path=path, drive=drive, start=start, mask=mask, pages=pages).load()
+
+
+def pages(spark: SparkSession, path: str, drive: str = "C", start: int | str = "earliest", mask: int = MASK) -> DataFrame:
+    """SR01 as a batch: the records of a journal's pages."""
+    image.register(spark)
+    return spark.read.format("journal_pages").options(path=path, drive=drive, start=start, mask=mask).load()
+
+
 def read_journal(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
-    """SR01: a stream over journal files; the checkpoint is its position."""
+    """A stream over journal tables that are decoded already; the checkpoint is its position."""
     return spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -65,21 +82,28 @@ def fold(journal: DataFrame, created_only: bool = False) -> DataFrame:
 _FIELDS = ["parent_record_number", "name", "attributes", "exists", "needs_refresh", "last_usn"]
 
 
+def _last(part: pd.DataFrame, rows: pd.Series) -> int:
+    """The place of the last of these rows; -1 if there is none."""
+    return int(rows.to_numpy().nonzero()[0][-1]) if rows.any() else -1
+
+
 def _apply(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     parent, name, attributes, exists, stale, last = state.get if state.exists else (None, None, None, True, False, -1)
     for part in parts:
-        for row in part.rename(columns={"name": "file_name"}).sort_values("usn").itertuples():
-            if row.usn <= last:
-                continue
-            last = int(row.usn)
-            if row.reason != "RenamedFrom":
-                parent, name, attributes = int(row.parent_record_number), row.file_name, int(row.attributes)
-            if row.reason in ("Created", "Deleted"):
-                exists, stale = row.reason == "Created", False
-            elif row.reason not in ("RenamedFrom", "RenamedTo"):
-                stale = True
-    state.update((parent, name, attributes, exists, stale, last))
-    yield pd.DataFrame([[*key, parent, name, attributes, exists, stale, last]], columns=["drive", "record_number", *_FIELDS])
+        part = part[part["usn"] > last].sort_values("usn").drop_duplicates("usn", keep="first").reset_index(drop=True)
+        if part.empty:
+            continue
+        last = int(part["usn"].iloc[-1])
+        named, born = _last(part, part["reason"] != "RenamedFrom"), _last(part, part["reason"].isin(["Created", "Deleted"]))
+        touched = _last(part, ~part["reason"].isin(["Created", "Deleted", "RenamedFrom", "RenamedTo"]))
+        if named >= 0:
+            row = part.iloc[named]
+            parent, name, attributes = int(row["parent_record_number"]), row["name"], int(row["attributes"])
+        if born >= 0:
+            exists = part["reason"].iloc[born] == "Created"
+        stale = bool(touched > born if max(touched, born) >= 0 else stale)
+    state.update((parent, name, attributes, bool(exists), stale, last))
+    yield pd.DataFrame([[*key, parent, name, attributes, bool(exists), stale, last]], columns=["drive", "record_number", *_FIELDS])
 
 
 def apply_stream(journal: DataFrame) -> DataFrame:

@@ -35,12 +35,12 @@ def folder(spark, tmp_path_factory):
 
 
 def test_all_extents(spark, folder):
-    f, _ = REGISTRY["ag10_extents_all"]
+    f, _ = REGISTRY["ag10_extents"]
     assert sorted(tuple(r) for r in f(spark, folder).collect()) == plain_extents()
 
 
 def test_all_lookups(spark, folder):
-    f, _ = REGISTRY["jn09_extent_lookup_all"]
+    f, _ = REGISTRY["jn09_extent_lookup"]
     records = [k * 13 * 7 + k % 5 + 1 for k in range(1100)]
     got = sorted(tuple(r) for r in f(spark, folder).collect())
     assert got == sorted((r, plain_offset(r)) for r in records)

@@ -2,8 +2,11 @@ from __future__ import annotations
 
 import random
 
+import struct
+
 from pyspark.sql import functions as F
 
+from arbordex.sources import layouts
 from arbordex.streaming import journal as j
 
 BITS = [0x100, 0x200, 0x1000, 0x2000, 0x800, 0x8000, 0x1, 0x400, 0x80000400]
@@ -40,3 +43,36 @@ def test_changes_and_positions(spark):
     assert j.next_usn(journal).head().next_usn == 50 and j.since(journal, 40).count() == 10 and j.since(journal, None).count() == 50
     created = j.fold(journal, created_only=True)
     assert created.count() == journal.where("reason_bits = 256").select("record_number").distinct().count()
+
+
+def pages(folder, found, size):
+    folder.mkdir(exist_ok=True)
+    for i in range(0, len(found), size):
+        part = found[i : i + size]
+        records = b"".join(layouts.pack_usn(r, p, n, u, t, bits, a, 2 + u % 2) for _, r, p, n, bits, a, u, t in part)
+        (folder / f"{part[0][6]:020d}.bin").write_bytes(struct.pack("<Q", part[-1][6] + 1) + records)
+
+
+def test_pages_are_polled(spark, tmp_path):
+    """A stream of raw pages, from a position or the end on; a restart goes on where it stopped."""
+    found = rows()
+    pages(tmp_path / "journal", found[:120], 16)
+    wanted = lambda least, most: {r[6] for r in found if least <= r[6] < most and r[4] & j.MASK}
+    assert {r.usn for r in j.pages(spark, str(tmp_path / "journal"), start=50).collect()} == wanted(50, 120)
+    assert j.pages(spark, str(tmp_path / "journal"), mask=0).count() == 120 and j.pages(spark, str(tmp_path / "journal"), start="latest").count() == 0
+    got: dict = {}
+
+    def run(name, start):
+        batches = got.setdefault(name, [])
+        q = j.poll(spark, str(tmp_path / "journal"), start=start, pages=2).writeStream.foreachBatch(lambda b, _: batches.append(sorted(r.usn for r in b.collect()))).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run("all", "earliest")
+    run("new", "latest")
+    seen = [u for b in got["all"] for u in b]
+    assert sorted(seen) == sorted(wanted(0, 120)) and not any(got["new"])
+    pages(tmp_path / "journal", found[120:], 16)
+    run("all", "earliest")
+    run("new", "latest")
+    assert sorted(u for b in got["all"] for u in b) == sorted(wanted(0, 200)) and sorted(u for b in got["new"] for u in b) == sorted(wanted(120, 200))

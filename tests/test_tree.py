@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbordex.operators import extents, merge, sinks, tree, treemap
 from arbordex.schema import NODES
+from arbordex.sources import volumes
 
 
 def nodes_of(spark, rows):
@@ -51,7 +52,8 @@ def test_chains_paths_and_sums(spark, seed):
     assert set(kept) == {(r, p) for r, p, n, *_ in rows if least[(p, n.lower())] == r}
     chains = tree.directory_chains(nodes)
     want = naive(rows)
-    assert {r.record: (r.state, list(r.names)) for r in chains.collect()} == want
+    at = lambda names: "\\".join(["C:", *reversed(names)]) if names else "C:\\"
+    assert {r.record: (r.state, r.path) for r in chains.collect()} == {r: (state, at(names)) for r, (state, names) in want.items()}
     sums = {}
     for (r, p), (_, size, is_dir) in kept.items():
         if r == p:
@@ -78,6 +80,44 @@ def test_chains_paths_and_sums(spark, seed):
     assert size.where("depth = 0").count() == 1 and size.where("depth > 2").count() == 0
 
 
+def test_deep_trees(spark):
+    """A thousand levels: paths and totals are exact, a cycle of 300 directories and what hangs on it are cut."""
+    rows = [(5, 5, ".", 0, True)] + [(10 + i, 5 if i == 0 else 9 + i, f"d{i}", 0, True) for i in range(1000)] + [(20_000 + i, 10 + i, f"f{i}", 7, False) for i in range(0, 1000, 9)]
+    rows += [(50_000 + i, 50_000 + (i + 1) % 300, f"c{i}", 0, True) for i in range(300)] + [(60_000, 50_000, "tail", 0, True), (60_001, 60_000, "lost", 5, False)]
+    nodes = tree.dedup(nodes_of(spark, rows))
+    chains = tree.directory_chains(nodes)
+    got = {r.record: r for r in chains.select("record", "path", "depth", "state").collect()}
+    assert all(got[10 + i].state == "root" and got[10 + i].depth == i + 1 for i in range(1000))
+    assert got[1009].path == "C:\\" + "\\".join(f"d{i}" for i in range(1000))
+    assert {got[50_000 + i].state for i in range(300)} == {"cycle"} and got[60_000].state == "cycle" and got[60_000].depth == 301
+    sums = {r.record_number: (r.total_size, r.file_count) for r in tree.rollup(nodes, chains).where("is_directory").collect()}
+    assert sums[5] == (7 * 112, 112) and all(sums[10 + i] == (7 * (111 - (i + 8) // 9 + 1), 111 - (i + 8) // 9 + 1) for i in range(1000))
+    assert {r.path_complete for r in tree.with_paths(nodes.where("record_number = 60001"), chains).collect()} == {False}
+
+
+def test_results_and_counts(spark):
+    rows = nodes_of(spark, [(5, 5, ".", 0, True), (10, 5, "a", 0, True), (11, 10, "x", 9, False), (12, 10, "y", 20, False)])
+    top = tree.largest_directories(tree.rollup(rows), 5)
+    assert [(r.record_number, r.file_size, r.total_size) for r in top.collect()] == [(5, 29, 29), (10, 29, 29)]
+    one = merge.selection(rows, rows.where("file_size > 0")).head()
+    assert (one.objects, one.selected, one.label) == (4, 2, " 4 objects | 2 selected | 29 B total")
+    none = merge.selection(rows, rows.limit(0)).head(), merge.selection(rows.limit(0), rows, False).head()
+    assert [(r.objects, r.selected) for r in none] == [(4, 1), (0, 0)]
+    assert [tuple(r) for r in merge.counted(rows).collect()] == [("C", 4)] and merge.counted(rows.limit(0)).count() == 0
+
+
+def test_an_opened_volume_follows_its_files(spark, tmp_path):
+    """The stored volume is used again, until a source file is another one."""
+    for name in ("region", "nation", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    nodes, chains = volumes.opened(spark, str(tmp_path))
+    again, _ = volumes.opened(spark, str(tmp_path))
+    assert again._arbordex_path == nodes._arbordex_path and again.count() == nodes.count()
+    spark.read.parquet("/root/testdata/sf0.001/region.parquet").where("r_regionkey > 0").write.mode("overwrite").parquet(f"{tmp_path}/region.parquet")
+    other, _ = volumes.opened(spark, str(tmp_path))
+    assert other.count() == nodes.count() - 1
+
+
 def test_merge(spark):
     old = nodes_of(spark, [(50, 40, "x.dll", 7, False), (50, 41, "y.dll", 7, False), (51, 40, "z", 1, False)])
     new = nodes_of(spark, [(51, 40, "other", 9, False), (52, 40, "new", 2, False)])
