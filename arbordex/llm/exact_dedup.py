@@ -1,16 +1,18 @@
 """Exact dedup by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Texts are equal when they are identical without the characters of ``[\\x20\\x09-\\x0D]``. Each input
-partition is a run. A run holds one row for each digest: how many rows it stands for and which of them
-stays (most code points, then smallest doc_id). In each round, ``FAN_IN`` neighbouring runs exchange their
-rows, are sorted by digest and merged; after log(runs) rounds one run, still dealt by digest, is left.
+partition is a run: sorted by digest, one row for each with how many rows it stands for and which of them
+stays (most code points, then smallest doc_id). In each round, FAN_IN neighbouring runs (two binomial rounds, pairs and fours)
+exchange their rows, are sorted by digest and merged, which keeps the smallest identifier; after log(runs) rounds one run, dealt by
+digest, is left. There are as many runs as the input has partitions, RUNS for each shuffle partition at most.
 
 Digests are verified: besides SHA-256 the key holds the length and a second hash of the normalised text,
 so rows merge only if all three agree, at every level. A digest that a third of all rows share is one row
-of each run before anything is shuffled; the verdict comes back by a join whose large keys Spark may split.
+of each run before anything is exchanged. The verdicts of groups with a share of 1 / HOT of all rows or more (HOT at most) go back to
+their rows by a broadcast, those of the others by a join: no task gets a large group.
 
 Null text counts as empty. Null doc_id comes after all others. Rows that repeat a doc_id count one by one;
-those of them with the same text share a verdict. An empty table gives an empty table.
+those of them with the same text share a verdict. Other columns play no part, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from pyspark.sql import functions as F
 
 from .shared import documents, shards, written
 
-#: Runs that merge in one exchange: three binomial rounds (pairs, fours, eights) share a shuffle.
-FAN_IN = 8
+FAN_IN = 4
+RUNS = 64
+HOT = 1000
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["text_sha256", "norm_chars", "norm_hash"]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars and the digest key of each row; the text is read once and goes no further."""
+    """doc_id, n_chars, the digest key and the run of each row; the text is read once and goes no further."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.translate(text, BLANKS, "").alias("norm"))
-    return rows.select("doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), F.length("norm").alias("norm_chars"), F.xxhash64("norm").alias("norm_hash"))
+    return rows.select("doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), F.length("norm").alias("norm_chars"), F.xxhash64("norm").alias("norm_hash"), F.spark_partition_id().alias("run"))
 
 
 def _merged(rows: DataFrame, run) -> DataFrame:
@@ -41,7 +44,7 @@ def _merged(rows: DataFrame, run) -> DataFrame:
 def exact_groups(rows: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each distinct digest: KEY, keep_id, keep_chars, group_size. rows: from digests()."""
     best = F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))
-    level = rows.select(F.pmod(F.spark_partition_id(), F.lit(runs)).alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("rows"))
+    level = rows.select(F.pmod("run", F.lit(runs)).alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("rows"))
     while True:
         runs = -(-runs // fan_in)
         level = _merged(level, F.floor(F.col("run") / fan_in) if runs > 1 else F.lit(0))
@@ -52,9 +55,13 @@ def exact_groups(rows: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
     rows = written(digests(docs), "digests")
-    groups = exact_groups(rows, max(1, min(rows.rdd.getNumPartitions(), 64 * shards(rows.sparkSession))))
+    n, last = rows.agg(F.count("*"), F.max("run")).head()
+    groups = written(exact_groups(rows, min((last or 0) + 1, RUNS * shards(rows.sparkSession))), "groups")
+    hot = F.col("group_size") * HOT >= n
+    large = F.broadcast(groups.where(hot))  # HOT rows at most
+    met = rows.join(large, KEY).unionByName(rows.join(large.select(*KEY), KEY, "left_anti").join(groups.where(~hot), KEY))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars"))
-    return rows.join(groups, KEY).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chars")
+    return met.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "n_chars")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
