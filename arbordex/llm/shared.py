@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_folder, stored_at
+
 #: Arrow batches sent to Python hold at most this many rows and about this many bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -34,19 +35,8 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own if it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="arbordex-")
-        if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors. It goes by discard(), or when the session ends."""
     path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(cleanup, "false")
@@ -55,14 +45,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(cleanup, before)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written: it does so when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return stored_at(df.sparkSession, path, df.schema)
 
 
 def shards(spark: SparkSession) -> int:
@@ -97,4 +80,4 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.col(text))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "documents", "free", "release", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "documents", "free", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]

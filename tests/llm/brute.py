@@ -90,3 +90,80 @@ def url_rules(rows: list[tuple], support: float, confidence: float, least: int)
     enough = max(least, math.ceil(support * len(rows)))
     rules = {c for c, n in blocked.items() if n >= enough and n >= confidence * sum(c <= set(x) for x, _ in rows)}
     return {c for c in rules if not any(r < c for r in rules)}
+
+
+def gram_counts(text: str, buckets: int) -> Counter:
+    """Letter n-grams of one to three characters, within words and their edges, by bucket."""
+    found: Counter = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        codes = [32, *map(ord, word), 32]
+        keys = [c | 1 << 61 for c in codes[1:-1]]
+        keys += [a << 21 | b | 1 << 62 for a, b in zip(codes, codes[1:], strict=False)]
+        keys += [a << 42 | b << 21 | c for a, b, c in zip(codes, codes[1:], codes[2:], strict=False)]
+        found.update((k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> (64 - buckets.bit_length() + 1) for k in keys)
+    return found
+
+
+def language(text: str, model: dict) -> tuple[str, float, bool]:
+    """Cosine with each centroid of the model, the best one's language, and whether it is too far."""
+    n = gram_counts(text, len(model["idf"]))
+    if not n:
+        return "und", 0.0, True
+    v = {k: math.log1p(c) * float(model["idf"][k]) for k, c in n.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in model["centroids"]]
+    best = max(range(len(cos)), key=lambda i: (cos[i], -i))
+    lang = int(model["of"][best])
+    return model["languages"][lang], cos[best], cos[best] < float(model["limits"][lang][int(math.log2(len(n)))])
+
+
+def phrases(text: str) -> set[str]:
+    """LZ78: each phrase is the shortest piece that isn't known yet."""
+    found, at = set(), 0
+    while at < len(text):
+        end = at + 1
+        while end <= len(text) and text[at:end] in found:
+            end += 1
+        if end > len(text):
+            break
+        found.add(text[at:end])
+        at = end
+    return found
+
+
+def signature(text: str, bins: int, empty: int, power: int) -> list[int]:
+    """The low 16 bits of the least hash of the phrases in each bin."""
+    mask, least = (1 << 64) - 1, {}
+
+    def mixed(h: int) -> int:
+        h = (h ^ h >> 31) * 0x7FB5D329728EA185 & mask
+        h = (h ^ h >> 27) * 0x81DADEF4BC2DD44D & mask
+        return h ^ h >> 33
+
+    for p in phrases(text):
+        h = mixed(sum(mixed(ord(c) + 0x632BE59BD9B4E019 & mask) * pow(power, i, 1 << 64) for i, c in enumerate(p)) & mask)
+        b = h >> 64 - bins.bit_length() + 1
+        least[b] = min(least.get(b, h), h)
+    return [empty if b not in least else min(least[b] & 0xFFFF, empty - 1) for b in range(bins)]
+
+
+def targets(sizes: dict, weights: tuple = (5, 2, 1), most: int = 3) -> dict:
+    """sizes: of each source. Shares by weight; what is over most times a source's size goes to the others."""
+    sources = sorted((s for s in sizes if s is not None), key=str) + [s for s in sizes if s is None]
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, left, free = {}, float(sum(sizes.values())), set(sources)
+    while free:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > most * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s], left = float(most * sizes[s]), left - most * sizes[s]
+        free -= over
+    return target
+
+
+def taken(doc_id, rate: float, seed: str = "mix-1") -> int:
+    """floor(rate) copies and one more by the draw of the document."""
+    draw = int(hashlib.md5(f"{seed}:{'null' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+    return math.floor(rate) + (draw < rate - math.floor(rate))

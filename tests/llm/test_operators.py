@@ -87,6 +87,36 @@ def test_language_id(spark, empty):
     assert all(r.h == (language_id.crc_remainder(r.doc_id) == 1) for r in held)
 
 
+def test_language_id_is_the_plain_version(spark):
+    """Vectors, cosines, the best centroid and rejection, for texts of all kinds; junk and foreign texts are rejected, others stay."""
+    rng = random.Random(8)
+    vocabulary = {lang: ["".join(rng.choice(part) for part in ("bcdfg" if lang == "aa" else "klmnp", "aeiou", "rst" if lang == "aa" else "vxz", "aeiou")) for _ in range(150)] for lang in ("aa", "bb")}
+    clean = [(i, " ".join(rng.choice(vocabulary[lang]) for _ in range(rng.choice([2, 5, 20, 100, 400]))), lang, None, 0) for i in range(300) for lang in [rng.choice(["aa", "bb"])]]
+    junk = [" ".join("".join(rng.choice("qwyjhk") for _ in range(rng.randrange(3, 9))) for _ in range(k)) for k in (12, 40, 200) for _ in range(10)] + ["абв где жзи клм " * 9, "漢字 仮名 交じり文 " * 20]
+    odd = ["", None, "12 34", "é", "İı ﬁ ß ẞ", "a" * 300, "ba " * 5000]
+    rows = clean + [(1000 + i, t, None, None, 0) for i, t in enumerate([*junk, *odd])]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.fitted(spark, docs)
+    assert model["limits"].shape == (2, 15) and (model["limits"] < 1).all()
+    for r in language_id.predict(docs, model).collect():
+        lang, score, rejected = brute.language(r.text or "", model)
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and r.score == pytest.approx(max(0.0, score), abs=1e-5), r.text
+        if r.doc_id < 300:
+            assert r.lang_pred == clean[r.doc_id][2] and not r.rejected
+        elif r.doc_id < 1000 + len(junk):
+            assert r.rejected
+    assert (language_id.counts([t or "" for _, t, *_ in rows]).sum(1) == [sum(brute.gram_counts(t or "", language_id.BUCKETS).values()) for _, t, *_ in rows]).all()
+
+
+def test_limits_of_few_texts():
+    """A size without texts takes the next smaller one's limit, a language with few texts all languages' limit."""
+    many = np.linspace(0.5, 1, 100), np.full(100, 40)
+    got = language_id.limits([many, (np.array([0.1]), np.array([300]))])
+    assert got[0, 5] == pytest.approx(language_id.KEEP * 0.505, abs=1e-3) and (got[:, 5:] == got[0, 5]).all()
+    assert got[0, 3] == pytest.approx(got[0, 5] / 2)
+    assert (language_id.limits([(np.zeros(0), np.zeros(0, np.int64))]) == 0).all()
+
+
 def test_long_texts_are_read_whole():
     pair = "ab cd " * 300_000
     whole = language_id.counts([pair])[0]
@@ -96,25 +126,12 @@ def test_long_texts_are_read_whole():
 # --- fingerprints -----------------------------------------------------------------------------------------------------------------
 
 
-def plain_phrases(text):
-    found, at = set(), 0
-    while at < len(text):
-        end = at + 1
-        while end <= len(text) and text[at:end] in found:
-            end += 1
-        if end > len(text):
-            break
-        found.add(text[at:end])
-        at = end
-    return found
-
-
 @pytest.mark.parametrize("text", ["", "a", "aaaaaaa", "abababab", "hello hello hello", "é🙂é🙂é"])
 def test_phrases(text):
     parse = fingerprints.Parse()
     for i in range(0, len(text), 3):
         parse.feed(text[i : i + 3])
-    assert parse.phrases == plain_phrases(text)
+    assert parse.phrases == brute.phrases(text)
 
 
 def test_fingerprints(spark, docs, rows, empty):
@@ -136,11 +153,17 @@ def test_fingerprints(spark, docs, rows, empty):
     assert len(twice) == 3
 
 
+@pytest.mark.parametrize("text", ["", "a", "hello hello hello world", "é🙂é🙂é", "ab" * 300])
+def test_signature_is_the_plain_version(text):
+    got = fingerprints.fingerprints(text)[0]
+    assert got.tolist() == brute.signature(text, fingerprints.BINS, fingerprints.EMPTY, 0xD6E8FEB86659FD93)
+
+
 def test_likeness_estimates_jaccard():
     rng = random.Random(5)
     a = [rng.choice("abcd ") for _ in range(6000)]
     b = a[:4000] + [rng.choice("abcd ") for _ in range(2000)]
-    one, two = plain_phrases("".join(a)), plain_phrases("".join(b))
+    one, two = brute.phrases("".join(a)), brute.phrases("".join(b))
     got = fingerprints.likeness(fingerprints.fingerprints("".join(a))[0], fingerprints.fingerprints("".join(b))[0])
     assert abs(got - len(one & two) / len(one | two)) < 0.15
     assert (fingerprints.from_string(fingerprints.to_string(fingerprints.fingerprints("".join(a))[0])) == fingerprints.fingerprints("".join(a))[0]).all()
@@ -156,22 +179,11 @@ def test_mixing(docs, rows, empty, monkeypatch, salted):
     got = mixing.with_copies(docs).collect()
     assert len(got) == len(rows)
     size = {d: len(brute.WORD.findall(t or "")) for d, t, *_ in rows}
-    sources = sorted({r[3] for r in rows if r[3]}) + [None]
-    held = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in sources}
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sources)}
-    target, left, free = {}, float(sum(held.values())), set(sources)
-    while True:
-        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = {s for s in free if share[s] > 3 * held[s]}
-        if not over:
-            target |= share
-            break
-        for s in over:
-            target[s], left = 3.0 * held[s], left - 3 * held[s]
-        free -= over
+    held = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in {r[3] for r in rows}}
+    target = brute.targets(held)
     for r in got:
         assert (r.mix_size, r.mix_source_size) == (size[r.doc_id], held[r.source])
-        assert r.mix_target == pytest.approx(target[r.source]) and abs(r.mix_copies - r.mix_target / r.mix_source_size) < 1
+        assert r.mix_target == pytest.approx(target[r.source]) and r.mix_copies == brute.taken(r.doc_id, r.mix_target / r.mix_source_size)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.mix_copies for r in got)
     assert mixing.mix(empty).count() == 0
@@ -287,6 +299,20 @@ def test_exact_dedup(spark, docs, rows, empty, monkeypatch, fan_in):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    """A third of all rows are copies; with verdicts by broadcast, by join, and in as many rounds as pairs of runs need, all the same."""
+    rows = [(i, "same  text" if i % 3 == 0 else f"own {i // 2}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(13).withColumns({c: F.lit(1) for c in ("run", "best", "rows", "norm")})
+    got = []
+    for hot, fan_in in ((1000, 4), (0, 2)):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        monkeypatch.setattr(exact_dedup.exact_groups, "__defaults__", (fan_in,))
+        got.append(table(exact_dedup.exact_dedup(docs)))
+    assert got[0] == got[1] and len(got[0]) == 600 and sum(r[2] == 200 and r[1] == 0 for r in got[0]) == 200
+    plan = exact_dedup.exact_groups(exact_dedup.digests(docs), 13, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4  # 13 runs become 7, 4, 2 and 1
+
+
 # --- n-gram join ----------------------------------------------------------------------------------------------------------------------------
 
 
