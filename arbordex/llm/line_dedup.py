@@ -421,3 +421,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the kept text of every whole text of documents."""
     rows = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+s AS MATERIALIZED (SELECT doc_id, i, line, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS set FROM l),
+c AS MATERIALIZED (SELECT row_number() OVER () AS id, min({'d': doc_id, 'i': i}) AS spot, set, len(set) AS n FROM s WHERE len(set) > 0 GROUP BY set),
+t AS MATERIALIZED (SELECT id, spot, n, unnest(set) AS x FROM c),
+f AS (SELECT x, count(*) AS lines FROM t GROUP BY x HAVING count(*) > 1),
+o AS (SELECT t.id, t.spot, t.n, t.x, f.lines, row_number() OVER (PARTITION BY t.id ORDER BY coalesce(f.lines, 1), t.x) AS place FROM t LEFT JOIN f USING (x)),
+q AS MATERIALIZED (SELECT id, spot, n, x FROM o WHERE lines > 1 AND place <= n - (80 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM q a JOIN q b ON a.x = b.x AND a.spot < b.spot AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+near AS (SELECT DISTINCT b FROM (SELECT b, x.n AS n, y.n AS m, len(list_intersect(x.set, y.set)) AS common FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b) WHERE 100 * common >= 80 * (n + m - common)),
+marks AS (SELECT s.doc_id, s.i, s.line, c.id IS NOT NULL AND (c.spot <> {'d': s.doc_id, 'i': s.i} OR near.b IS NOT NULL) AS gone FROM s LEFT JOIN c ON c.set = s.set LEFT JOIN near ON near.b = c.id)
+SELECT d.doc_id, CAST(CASE WHEN any_value(d.text) IS NULL THEN 0 ELSE count(*) END AS BIGINT) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256 FROM documents d JOIN marks USING (doc_id) GROUP BY d.doc_id
+"""

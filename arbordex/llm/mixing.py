@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import documents, free, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -62,25 +62,34 @@ def copies(rate: Column, doc_id: Column, seed: str = SEED) -> Column:
 
 
 def with_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """docs with the columns mix_size, mix_source_size, mix_target and mix_copies."""
-    sized = docs.withColumn("mix_size", size_of(F.col("text")))
-    targets = written(source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, most), "mix-targets")
-    targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
-    on = F.col("source").eqNullSafe(F.col("mix_source"))
+    """docs with the columns mix_size, mix_source_size, mix_target and mix_copies (columns of these names are replaced)."""
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return _counted(docs, weights, most, seed, ["mix_size", "mix_source_size", "mix_target", "mix_copies"])
+
+
+def _counted(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str, names: list[str]) -> DataFrame:
+    """docs with size, its source's size and target, and copies, by these names."""
+    size, source_size, target, n = names
+    own, rate, salt, part = free([*docs.columns, *names], "of", "rate", "salt", "part")
+    sized = docs.withColumn(size, size_of(F.col("text")))
+    targets = written(source_targets(sized.select("source", F.col(size).alias("size")), weights, most), "mix-targets")
+    targets = targets.select(F.col("source").alias(own), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate))
+    on = F.col("source").eqNullSafe(F.col(own))
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     else:
-        targets = targets.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        sized = sized.withColumn("mix_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        on = on & (F.col("mix_part") == F.col("mix_salt"))
-    joined = sized.join(targets, on).drop("mix_source", "mix_salt", "mix_part")
-    return joined.withColumn("mix_copies", copies(F.col("mix_rate"), F.col("doc_id"), seed)).drop("mix_rate")
+        targets = targets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        sized = sized.withColumn(part, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        on = on & (F.col(part) == F.col(salt))
+    joined = sized.join(targets, on).drop(own, salt, part)
+    return joined.withColumn(n, copies(F.col(rate), F.col("doc_id"), seed)).drop(rate)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mixed corpus: each document as often as its copies, with the columns of docs."""
-    rows = with_copies(docs, weights, most, seed).where("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: each document as often as its copies, with the columns of docs, whatever their names."""
+    names = free(docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    rows = _counted(docs, weights, most, seed, names).where(F.col(names[-1]) > 0)
+    return rows.withColumn(names[0], F.explode(F.array_repeat(F.lit(0), F.col(names[-1]).cast("int")))).select(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .packed import SCHEMA, pack, unpack
-from .shared import documents, shards, tune, written
+from .packed import SCHEMA, deal, pack, unpack
+from .shared import documents, free, row_key, shards, tune, written
 from .words import Rolling, U, hashed, heads, mix, pieces, raw, salted, split
 
 SIZE, PERCENT = 4, 85
 #: Bits of the sketches that classes of open groups are compared by.
 BITS = 2048
 _TILE = 1 << 19
-_INFO = ["<i8", "<i4", "<i8", "<u8"]  # doc, row, shingles, class
+_INFO = ["<i8", "<i8", "<i8", "<u8"]  # doc, row, shingles, class
 _BLOCKS = ["<u8", "<u8"]  # block, class
-_MET = "kind int, x long, y long, doc long, row int, n long"
+_MET = "kind int, x long, y long, doc long, row long, n long"
 _IS_INFO, _IS_GROUP = range(2)
 _NULL = -(1 << 63)
 
@@ -108,6 +108,7 @@ def sketch_blocks(text: np.ndarray, s: np.ndarray, n: np.ndarray, percent: int)
 
 def _sent(texts: DataFrame, n: int, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_blocks, to_info = deal(n)
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for first, end, part in pieces(batch.column(2)):
@@ -116,14 +117,14 @@ def _sent(texts: DataFrame, n: int, size: int, percent: int) -> DataFrame:
                 sums = np.concatenate([[U(0)], np.cumsum(mix(s ^ salted(34)))])
                 edge = np.concatenate([[0], np.cumsum(count)])
                 class_ = mix((sums[edge[1:]] - sums[edge[:-1]]) + count.astype(np.uint64) * U(0x9E3779B97F4A7C15))
-                to = -1 - (mix(ids[first:end].astype(np.uint64) + U(7)) % U(n)).astype(np.int32)
+                to = to_info[(mix(ids[first:end].astype(np.uint64) + U(7)) % U(n)).astype(np.int64)]
                 yield pack(to, [ids[first:end], rows[first:end], count.astype(np.int64), class_])
                 # copies within the piece send their class's blocks once
                 once = np.zeros(len(part), bool)
                 once[np.unique(class_, return_index=True)[1]] = True
                 pick = once[text]
                 owner, code = sketch_blocks(text[pick], s[pick], np.where(once, count, 0), percent)
-                yield pack(((code >> U(8)) % U(n)).astype(np.int32), [code, class_[owner]])
+                yield pack(to_blocks[((code >> U(8)) % U(n)).astype(np.int64)], [code, class_[owner]])
 
     return texts.mapInArrow(run, SCHEMA)
 
@@ -149,7 +150,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code, class_, size = code[several], class_[several], size[size > 1]
     if not len(code):
         return
-    yield out(_IS_GROUP, code, class_, np.zeros(len(code), np.int64), np.zeros(len(code), np.int32), np.repeat(size, size).astype(np.int64))
+    yield out(_IS_GROUP, code, class_, np.zeros(len(code), np.int64), np.zeros(len(code), np.int64), np.repeat(size, size).astype(np.int64))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -272,11 +273,11 @@ def _across(open_: DataFrame, n: int, percent: int, all_: bool) -> DataFrame:
 
 
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of docs: doc_id, row (a hash of its text), n_shingles, component_id."""
+    """A row for each row of docs: doc_id, row (a hash of its text), n_shingles, component_id, component (a hash that the rows of one share)."""
     spark = docs.sparkSession
     tune(spark)
     n = shards(spark)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), F.hash("text").alias("row"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), row_key("text").alias("row"), "text")
     met = written(_sent(texts, n, size, percent).repartition(n, "shard").mapInArrow(_met, _MET), "blocks")
     info = met.where(F.col("kind") == _IS_INFO).select("doc", "row", "n", F.col("x").alias("class"))
     groups = written(_kept(met.where(F.col("kind") == _IS_GROUP).select(F.col("x").alias("block"), F.col("y").alias("class"), "n"), percent), "groups")
@@ -308,17 +309,55 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     class_ = info.select("class", F.nullif(F.col("doc"), F.lit(_NULL)).alias("doc")).groupBy("class").agg(F.min("doc").alias("doc"))
     class_ = class_.join(of.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = class_.groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = class_.join(least, "component").select("class", "least")
+    of_class = class_.join(least, "component").select("class", "least", "component")
     own = F.nullif(F.col("doc"), F.lit(_NULL))
     rows = info.join(of_class, "class")
-    return rows.select(own.alias("doc_id"), "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component_id"))
+    return rows.select(own.alias("doc_id"), "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component_id"), "component")
 
 
 def keep_one(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """docs without those that are linked, by others or at once, with a document of a smaller doc_id."""
-    found = linked(docs, size, percent).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("gone"), "left_anti")
+    """docs with one row of each component: the one of the smallest doc_id (null last), of these the one with the smallest hash of its text.
+
+    Of rows that repeat (same doc_id and text) the first of a written table stays. Texts without words are no one's copies and all stay.
+    Columns of any names are kept.
+    """
+    doc, row, copy, least = free(docs.columns, "doc", "row", "copy", "least")
+    found = written(linked(docs, size, percent).where("n_shingles > 0"), "linked")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    best = found.where(first).groupBy("component").agg(F.min("row").alias("best"))
+    same_id = found.where(first).join(best, "component").where("row <> best")
+    gone = found.where(~first).select("doc_id", "row").unionByName(same_id.select("doc_id", "row")).distinct().toDF(doc, row)
+    rows = docs.withColumns({row: row_key("text"), doc: F.col("doc_id")})
+    kept = rows.join(gone, rows[doc].eqNullSafe(gone[doc]) & (rows[row] == gone[row]), "left_anti")
+    again = found.groupBy("doc_id", "row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(doc), F.col("row").alias(row))
+    again = written(again, "repeats")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    twice = lambda kind: kept.join(again, kept[doc].eqNullSafe(again[doc]) & (kept[row] == again[row]), kind)
+    copies = written(twice("left_semi").withColumn(copy, F.monotonically_increasing_id()), "copies")
+    firsts = copies.groupBy(doc, row).agg(F.min(copy).alias(least)).select(F.col(least).alias(copy))
+    return twice("left_anti").select(*docs.columns).unionByName(copies.join(firsts, copy, "left_semi").select(*docs.columns))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, n, i, hash(concat_ws(' ', word, lead(word) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d)) AS x FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, list_sort(list(DISTINCT x)) AS set FROM g WHERE i + 3 <= n OR i = 1 GROUP BY doc_id),
+s AS MATERIALIZED (SELECT w.doc_id, coalesce(h.set, []) AS set FROM w LEFT JOIN h USING (doc_id)),
+c AS MATERIALIZED (SELECT min(doc_id) AS doc_id, set, len(set) AS n FROM s WHERE len(set) > 0 GROUP BY set),
+t AS MATERIALIZED (SELECT doc_id, n, unnest(set) AS x FROM c),
+f AS (SELECT x, count(*) AS docs FROM t GROUP BY x HAVING count(*) > 1),
+o AS (SELECT t.doc_id, t.n, t.x, f.docs, row_number() OVER (PARTITION BY t.doc_id ORDER BY coalesce(f.docs, 1), t.x) AS place FROM t LEFT JOIN f USING (x)),
+q AS MATERIALIZED (SELECT doc_id, n, x FROM o WHERE docs > 1 AND place <= n - (85 * n + 99) // 100 + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM q a JOIN q b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, x.n AS n, y.n AS m, len(list_intersect(x.set, y.set)) AS common FROM pairs JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b) WHERE 100 * common >= 85 * (n + m - common)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM c WHERE doc_id IN (SELECT a FROM edges) UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+least AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.set) AS BIGINT) AS n_shingles, coalesce(least.component, c.doc_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON c.set = s.set LEFT JOIN least ON least.a = c.doc_id
+"""

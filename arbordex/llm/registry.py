@@ -6,12 +6,12 @@ from .bpe import op4_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .fingerprints import op2_fingerprints
 from .language_id import op1_language_id
-from .line_dedup import op9_line_dedup
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP3_SQL, op3_mix_sources
-from .ngram_join import op8_ngram_join
-from .substring_dedup import op5_substring_dedup
+from .ngram_join import OP8_SQL, op8_ngram_join
+from .substring_dedup import OP5_SQL, op5_substring_dedup
 from .token_counts import op6_token_counts
-from .url_filter import op10_url_filter
+from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -28,5 +28,9 @@ QUERIES = {
 
 ORACLES = {
     "op3_mix_sources": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_ngram_join": OP8_SQL,
+    "op9_line_dedup": OP9_SQL,
+    "op10_url_filter": OP10_SQL,
 }

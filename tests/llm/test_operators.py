@@ -189,6 +189,27 @@ def test_mixing(docs, rows, empty, monkeypatch, salted):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_keeps_columns(spark):
+    rows = [(i, "a b c", f"s{i % 2}", "q") for i in range(9)] + [(None, None, None, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, c string").select("doc_id", "text", "source", *[F.col("c").alias(x) for x in ("mix_size", "mix_source", "mix_copies", "of", "rate", "size", "target")])
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns and all(set(tuple(r)[3:]) == {"q"} for r in got.collect())
+    plain = mixing.mix(docs.select("doc_id", "text", "source"))
+    assert table(got.select("doc_id", "text", "source")) == table(plain)
+
+
+def test_long_texts_through_spark(spark):
+    """A text of some million characters is mixed, fingerprinted and deduplicated whole."""
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(300_000))
+    docs = spark.createDataFrame([(1, long, "en", "a", 0), (2, long + " ", "en", "b", 0), (3, "short", "en", "a", 0)], DOCS)
+    assert {r.doc_id: r.mix_size for r in mixing.with_copies(docs).collect()} == {1: 300_000, 2: 300_000, 3: 1}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()} == {1: (2, 2), 2: (2, 2), 3: (3, 1)}
+    got = {r.doc_id: r for r in fingerprints.compare(docs).collect()}
+    assert got[1].n_chars == len(long) and got[1].near_next > 0.99 and got[2].edited_sha256 == hashlib.sha256(((long + " ")[: len(long) + 1 - (len(long) + 1) // 4] + "short").encode()).hexdigest()
+    assert {r.doc_id: r.component_id for r in ngram_join.linked(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 # --- BPE ----------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -356,6 +377,24 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert table(got) == sorted([(None, 4, 7), (7, 4, 7), (7, 4, 7), (8, 0, 8), (None, 0, None), (9, 1, 9), (10, 1, 9)], key=repr)
 
 
+def test_one_of_each_group_stays(spark):
+    """Repeated rows, null ids, equal ids with other texts, empty texts, and columns named like the operator's own."""
+    text, other = "one two three four five six seven eight", "red green blue yellow pink brown grey white"
+    rows = [(None, text), (7, text), (7, text), (9, text.upper()), (7, other), (8, None), (8, None), (None, ""), (None, other + " x"), (None, "solo line of five words"), (None, "solo line of five words"), (3, other + " x y z a b c d e f")]
+    names = ["doc", "row", "gone", "copy", "least", "component", "class", "n_shingles"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("q").alias(c) for c in names])
+    got = ngram_join.keep_one(docs.repartition(3), 5, 80)
+    assert got.columns == ["doc_id", "text", *names] and all(r[c] == "q" for r in got.collect() for c in names)
+    kept = sorted([(r.doc_id, r.text) for r in got.collect()], key=repr)
+    alone = [(8, None), (8, None), (None, ""), (None, "solo line of five words"), rows[-1]]
+    one, two = [r for r in kept if r not in alone and r[1].lower() == text], [r for r in kept if r not in alone and r[1].startswith("red")]
+    assert sorted(one + two + alone, key=repr) == kept
+    assert one == [(7, text)] and two in ([(7, other)], [(7, other), (None, other + " x")])
+    linked_ = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert (len(two) == 1) == (linked_[(None, 5)] == 7)
+    assert ngram_join.keep_one(docs.limit(0), 5, 80).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, 7), (30, 31), (32, 31), (40, 40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -513,6 +552,15 @@ def test_url_rules_have_no_cap(spark, monkeypatch, tmp_path):
     assert table(url_filter.op10_url_filter(spark, str(tmp_path))) == few and len(few) == len(rows + two) + 2
 
 
+def test_url_of_many_items(spark):
+    """Few pages of very many items make no rules, many of them make one rule for each item, at once."""
+    long = "http://a.b/?" + "&".join(f"k{i}=1" for i in range(64))
+    few = [(long, True)] * 3 + [("http://c/d", False)] * 200
+    assert url_filter.mine(spark.createDataFrame(few, "url string, block boolean")) == []
+    many = [(long, True)] * 30 + [("http://c/d", False)] * 200
+    assert {r for r, _ in url_filter.mine(spark.createDataFrame(many, "url string, block boolean"))} == {frozenset([i]) for i in url_filter.items(long)}
+
+
 def test_pieces_cover_all_texts():
     from arbordex.llm import words
 
