@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,8 +163,14 @@ class Vocabulary:
 
 
 @cache
-def _vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(Path(path).read_text(encoding="utf-8"))
+def _vocabulary(text: str) -> Vocabulary:
+    """A vocabulary file's text, read; kept for as long as the worker is."""
+    return Vocabulary(text)
+
+
+def _sent(docs: DataFrame, path: str) -> Broadcast:
+    """The driver's vocabulary file for the executors, which needn't have it (some MB, whatever the data)."""
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
 class Encoder:
@@ -207,12 +214,12 @@ class Encoder:
         return b"".join(map(self.vocabulary.token.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> list[str]:
+def frequent_words(docs: DataFrame, vocabulary: Broadcast, most: int = LEXICON) -> list[str]:
     """The most frequent pre-tokens of all texts: at most `most`, which bounds what the driver gets."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(_vocabulary(vocabulary)), Counter()
+        encoder, seen = Encoder(_vocabulary(vocabulary.value)), Counter()
         as_batch = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in texts_of(batch.column(0)).to_pylist():
@@ -236,10 +243,10 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> lis
     return sorted(r["word"] for r in counted.where(step >= least).select("word").collect())
 
 
-def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> str:
+def build_lexicon(docs: DataFrame, vocabulary: Broadcast, most: int = LEXICON) -> str:
     """Compile the lexicon and send its file to the executors; its name there."""
     words = frequent_words(docs, vocabulary, most)
-    ids = _vocabulary(vocabulary).merge_all([w.encode() for w in words])
+    ids = _vocabulary(vocabulary.value).merge_all([w.encode() for w in words])
     entries = {w.encode(): np.frombuffer(x, "<i4").tolist() for w, x in zip(words, ids, strict=True)}
     path = Path(tempfile.mkdtemp(prefix="arbordex-")) / f"lexicon-{uuid.uuid4().hex}"
     compile_lexicon(entries, path)
@@ -250,14 +257,14 @@ def build_lexicon(docs: DataFrame, vocabulary: str, most: int = LEXICON) -> str:
 def encode(docs: DataFrame, vocabulary: str | None = None, most: int = LEXICON, decode: bool = False) -> DataFrame:
     """docs with ids (array of int), and with decoded (the text from these ids) if asked for."""
     tune(docs.sparkSession)
-    vocabulary = vocabulary or default_vocabulary()
+    shared = _sent(docs, vocabulary or default_vocabulary())
     docs = docs.drop("ids", "decoded")
     names = docs.columns
-    lexicon = build_lexicon(docs, vocabulary, most)
+    lexicon = build_lexicon(docs, shared, most)
     extra = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_vocabulary(vocabulary), Lexicon(SparkFiles.get(lexicon)))
+        encoder = Encoder(_vocabulary(shared.value), Lexicon(SparkFiles.get(lexicon)))
         for batch in batches:
             ids = encoder.encode(texts_of(batch.column(names.index("text"))).to_pylist())
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)

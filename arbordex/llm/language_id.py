@@ -221,6 +221,19 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of docs that aren't rejected, with their columns, whatever their names."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 200 KB for each language: CLUSTERS x BUCKETS floats
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not r for r in predict_texts(shared.value, texts_of(batch.column(at)).to_pylist())[2]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
