@@ -40,9 +40,10 @@ def json_object(with_paths: DataFrame, stats: DataFrame) -> DataFrame:
     return files.join(stats, "drive").select(F.to_json(F.struct("drive", F.struct(stats["files"], "directories", "total_size").alias("stats"), files["files"])).alias("value"))
 
 
-def summary(stats: DataFrame) -> DataFrame:
-    """SK03"""
-    return stats.select("drive", "files", "directories", "total_size", format_size(F.col("total_size")).alias("total_size_text"), "total_allocated", "orphaned")
+def summary(stats: DataFrame, seconds: float | None = None) -> DataFrame:
+    """SK03; AG06: with the seconds that a scan took, files a second."""
+    found = stats.select("drive", "files", "directories", "total_size", format_size(F.col("total_size")).alias("total_size_text"), "total_allocated", "orphaned")
+    return found if seconds is None else found.withColumn("files_per_second", F.col("files") / F.lit(max(seconds, 1e-9)))
 
 
 def path_list(with_paths: DataFrame) -> DataFrame:

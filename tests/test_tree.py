@@ -170,4 +170,5 @@ def test_exports(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).where("size = 3").count() == 1
     text = sinks.json_object(rows, tree.stats(nodes)).head()[0]
     assert '"files":1,"directories":1,"total_size":3' in text
+    assert sinks.summary(tree.stats(nodes), 0.5).head().files_per_second == 2.0 and "files_per_second" not in sinks.summary(tree.stats(nodes)).columns
     assert sinks.path_list(rows.where("record_number = 10")).head()[0] == 'C:\\say "x"'
