@@ -18,6 +18,10 @@ one component are done: a link more would change nothing. In the open groups, th
 member of another one by sketches of BITS bits, whose Hamming distance must allow a link; rounds go on while they find links. At the end, all
 pairs across components that the sketches still allow are compared, so components are exact. A group of copies is never expanded into pairs.
 
+Large groups. What is known of a block meets its rows by a broadcast if it has a share of 1 / HOT of all rows or more (so HOT at most do),
+and by a join otherwise. An open group of over GROUP classes is dealt into parts: each class is in one, and those outside of the largest component
+look into all.
+
 Null and empty texts have no shingles and are linked with nothing; fewer than SIZE words make one shingle. Null doc_id is no
 component's smallest unless it is alone (null then). Rows that repeat are documents of the same class. Ties between pivots go to the larger hash.
 An empty table gives an empty table.
@@ -35,12 +39,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .packed import SCHEMA, deal, pack, unpack
-from .shared import documents, free, row_key, shards, tune, written
+from .shared import discard, documents, free, row_key, shards, tune, written
 from .words import Rolling, U, hashed, heads, mix, pieces, raw, salted, split
 
 SIZE, PERCENT = 4, 85
 #: Bits of the sketches that classes of open groups are compared by.
 BITS = 2048
+HOT, GROUP = 1000, 512
 _TILE = 1 << 19
 _INFO = ["<i8", "<i8", "<i8", "<u8"]  # doc, row, shingles, class
 _BLOCKS = ["<u8", "<u8"]  # block, class
@@ -178,14 +183,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _kept(blocks: DataFrame, percent: int) -> DataFrame:
-    """Without each class's most frequent blocks, as many in each band as may be left out, and without blocks of one class. blocks: block, class, n."""
+def _spread(rows: DataFrame, per: DataFrame, total: int, key: str = "block", count: str = "n") -> DataFrame:
+    """rows (key, ...) of total rows, with what per (key, count of its rows, ...) says of their keys; no task gets a large group. Both are written tables."""
+    hot = F.col(count) * HOT >= total
+    large = per.where(hot)  # HOT rows at most
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(rest.join(per.where(~hot), key))
+
+
+def _kept(blocks: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """Without each class's most frequent blocks, as many in each band as may be left out, and without blocks of one class: block, class,
+    pivot (the block's first class); and the number of rows. blocks: block, class, n."""
     band = F.col("block").bitwiseAND(F.lit(255)).cast("int")
     slack = F.element_at(F.array(*[F.lit(int(x)) for x in block_counts(percent)[1]]), F.col("band") + 1)
     frequent = Window.partitionBy("class", "band").orderBy(F.desc("n"), F.desc("block"))
-    rare = blocks.withColumn("band", band).withColumn("place", F.row_number().over(frequent)).where(F.col("place") > slack).select("block", "class")
-    several = rare.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    return rare.join(several, "block")
+    rare = written(blocks.withColumn("band", band).withColumn("place", F.row_number().over(frequent)).where(F.col("place") > slack).select("block", "class"), "rare")
+    several = written(rare.groupBy("block").agg(F.count("*").alias("n"), F.min("class").alias("pivot")).where("n > 1"), "several")
+    total = rare.count()
+    groups = written(_spread(rare, several, total).select("block", "class", "pivot"), "groups")
+    discard(rare, several)
+    return groups, total
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -209,17 +226,19 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class long, n long, sketch binary")
 
 
-def _near(class_: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
+def _near(class_: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, role: np.ndarray, percent: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
     """Of one group: pairs across components that the sketches allow; the nearest one of each class, or all."""
     _, number, size = np.unique(component, return_inverse=True, return_counts=True)
-    from_ = np.flatnonzero(number != size.argmax())
+    whole = (role == _WHOLE).any()
+    from_ = np.flatnonzero(number != size.argmax()) if whole else np.flatnonzero(role == _LOOKS)
+    to = np.arange(len(class_)) if whole else np.flatnonzero(role == _IS_THERE)
     a, b = [], []
-    step = max(1, _TILE // (len(class_) * sketch.shape[1]))
-    for i in range(0, len(from_), step):
+    step = max(1, _TILE // max(1, len(to) * sketch.shape[1]))
+    for i in range(0, len(from_) if len(to) else 0, step):
         x = from_[i : i + step]
-        apart = np.bitwise_count(sketch[x][:, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int64)
-        both = n[x][:, None] + n[None, :]
-        ok = (apart <= both - 2 * -(-percent * both // (100 + percent))) & (number[x][:, None] != number[None, :])
+        apart = np.bitwise_count(sketch[x][:, None, :] ^ sketch[to][None, :, :]).sum(2, dtype=np.int64)
+        both = n[x][:, None] + n[to][None, :]
+        ok = (apart <= both - 2 * -(-percent * both // (100 + percent))) & (number[x][:, None] != number[to][None, :])
         if all_:
             k, y = np.nonzero(ok)
         else:
@@ -227,12 +246,29 @@ def _near(class_: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.n
             k = np.flatnonzero(ok[np.arange(len(x)), y])
             y = y[k]
         a.append(class_[x[k]])
-        b.append(class_[y])
+        b.append(class_[to[y]])
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
 
+_WHOLE, _IS_THERE, _LOOKS = range(3)
+
+
+def _parts(open_: DataFrame, total: int) -> DataFrame:
+    """open_ (block, class, component, n) with group (a block, or a part of it) and role, before sketches are joined."""
+    small = open_.where(F.col("n") <= GROUP).select("class", "component", F.xxhash64("block").alias("group"), F.lit(_WHOLE).alias("role"))
+    large = open_.where(F.col("n") > GROUP)
+    if large.isEmpty():
+        return small
+    sizes = large.groupBy("block", "component").agg(F.count("*").alias("k"))
+    per = written(sizes.groupBy("block").agg(F.sum("k").alias("n"), F.max_by("component", F.struct("k", "component")).alias("largest")), "largest")
+    rows = _spread(large.select("block", "class", "component"), per, total).withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+    there = rows.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("role", F.lit(_IS_THERE))
+    looks = rows.where("component <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(_LOOKS))
+    return small.unionByName(there.unionByName(looks).select("class", "component", F.xxhash64("block", "part").alias("group"), "role"))
+
+
 def _across(open_: DataFrame, n: int, percent: int, all_: bool) -> DataFrame:
-    """Pairs (a, b) of classes of open groups. open_: block, class, component, n, sketch. A group streams by in the order of blocks."""
+    """Pairs (a, b) of classes of open groups. open_: group, class, component, role, n, sketch. A group streams by in the order of groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -241,12 +277,12 @@ def _across(open_: DataFrame, n: int, percent: int, all_: bool) -> DataFrame:
             if not held:
                 return
             t = pa.Table.from_batches(held).combine_chunks()
-            block, class_, component, size = (t.column(i).to_numpy() for i in range(4))
-            sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(len(block), -1)
-            first = np.flatnonzero(heads(block))
+            group, class_, component, role, size = (t.column(i).to_numpy() for i in range(5))
+            sketch = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint64).reshape(len(group), -1)
+            first = np.flatnonzero(heads(group))
             a, b = [], []
-            for f, e in zip(first.tolist(), [*first[1:].tolist(), len(block)], strict=True):
-                x, y = _near(class_[f:e], component[f:e], size[f:e], sketch[f:e], percent, all_)
+            for f, e in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=True):
+                x, y = _near(class_[f:e], component[f:e], size[f:e], sketch[f:e], role[f:e], percent, all_)
                 a.append(x)
                 b.append(y)
             x, y = np.concatenate(a), np.concatenate(b)
@@ -255,49 +291,81 @@ def _across(open_: DataFrame, n: int, percent: int, all_: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
 
         for batch in batches:
-            block = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(block, block[-1])) if len(block) else 0  # where the batch's last group starts
+            group = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(group, group[-1])) if len(group) else 0  # where the batch's last group starts
             if cut:  # a group ends in this batch: what came before is whole
                 held.append(batch.slice(0, cut))
                 yield from pairs()
                 held = []
-            elif held and len(block) and held[-1].column(0)[0].as_py() != block[0]:
+            elif held and len(group) and held[-1].column(0)[0].as_py() != group[0]:
                 yield from pairs()
                 held = []
-            if len(block):
+            if len(group):
                 held.append(batch.slice(cut))
         yield from pairs()
 
-    dealt = open_.repartition(n, "block").sortWithinPartitions("block", "class")
-    return dealt.select("block", "class", "component", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
+    dealt = open_.repartition(n, "group").sortWithinPartitions("group", "class")
+    return dealt.select("group", "class", "component", "role", "n", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """A row for each row of docs: doc_id, row (a hash of its text), n_shingles, component_id, component (a hash that the rows of one share)."""
-    spark = docs.sparkSession
-    tune(spark)
-    n = shards(spark)
+def _prepared(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """What is known of documents (doc, row, n, class), their groups and the groups' rows, and a text for each class of a group."""
+    tune(docs.sparkSession)
+    n = shards(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("doc"), row_key("text").alias("row"), "text")
     met = written(_sent(texts, n, size, percent).repartition(n, "shard").mapInArrow(_met, _MET), "blocks")
     info = met.where(F.col("kind") == _IS_INFO).select("doc", "row", "n", F.col("x").alias("class"))
-    groups = written(_kept(met.where(F.col("kind") == _IS_GROUP).select(F.col("x").alias("block"), F.col("y").alias("class"), "n"), percent), "groups")
-    pivots = groups.groupBy("block").agg(F.min("class").alias("b"))
-    pairs = groups.join(pivots, "block").where("class <> b").select(F.col("class").alias("a"), "b", F.lit(1).cast("long").alias("n"))
+    groups, total = _kept(met.where(F.col("kind") == _IS_GROUP).select(F.col("x").alias("block"), F.col("y").alias("class"), "n"), percent)
     some = groups.select("class").distinct()
     standing = info.where("n > 0").groupBy("class").agg(F.min(F.struct("doc", "row")).alias("of")).join(some, "class", "left_semi").select("class", "of.*")
     candidates = written(texts.join(standing, ["doc", "row"]).select("class", "text").dropDuplicates(["class"]), "candidates")
+    return info, groups, total, candidates
+
+
+def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """All verified links between classes of equal sets (a, b: each pair once), and each row's class (doc_id, row, n_shingles, class).
+
+    Unlike linked(), this compares every pair of a group that the sketches allow: a group of m different near copies costs m * m / 2 comparisons.
+    """
+    info, groups, total, candidates = _prepared(docs, size, percent)
+    per = written(groups.groupBy("block").agg(F.count("*").alias("n")), "block-sizes")
+    open_ = written(_spread(groups.select("block", "class", F.col("class").alias("component")), per, total), "open")
+    sketches = written(_sketches(candidates, size), "sketches")
+    pairs = _across(_parts(open_, total).join(sketches, "class"), shards(docs.sparkSession), percent, True)
+    rows = info.select(F.nullif(F.col("doc"), F.lit(_NULL)).alias("doc_id"), "row", F.col("n").alias("n_shingles"), "class")
+    return written(_verified(pairs, candidates, size, percent), "links"), rows
+
+
+def link_counts(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs: doc_id, row, n_shingles, class, n_links (other rows that it links with, copies among them)."""
+    found, rows = links(docs, size, percent)
+    rows = written(rows, "rows")
+    copies = rows.groupBy("class").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    other = ends.join(copies.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("copies").alias("others"))
+    n_links = F.when(F.col("n") > 0, F.coalesce("others", F.lit(0)) + F.col("copies") - 1).otherwise(0)
+    per = written(copies.join(other, "class", "left").select("class", "copies", n_links.cast("long").alias("n_links")), "class-links")
+    return _spread(rows, per, rows.count(), "class", "copies").select("doc_id", "row", "n_shingles", "class", "n_links")
+
+
+def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """A row for each row of docs: doc_id, row (a hash of its text), n_shingles, component_id, component (a hash that the rows of one share)."""
+    n = shards(docs.sparkSession)
+    info, groups, total, candidates = _prepared(docs, size, percent)
+    pairs = groups.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"), F.lit(1).cast("long").alias("n"))
     of = written(components(_verified(_best(pairs), candidates, size, percent)), "components")
     sketches = all_ = None
     while True:
         # groups that are still open: their members are in several components
-        now = groups.join(of.withColumnRenamed("node", "class"), "class", "left").select("block", "class", F.coalesce("component", "class").alias("component"))
-        open_ = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("block")
-        now = written(now.join(open_, "block"), "open")
-        if now.isEmpty():
+        now = written(groups.join(of.withColumnRenamed("node", "class"), "class", "left").select("block", "class", F.coalesce("component", "class").alias("component")), "now")
+        per = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+        per = written(per.where("least < most").select("block", "n"), "open-blocks")
+        if per.isEmpty():
             break
-        groups = now.select("block", "class")
+        open_ = written(_spread(now, per, total), "open")
+        groups = open_.select("block", "class")
         sketches = written(_sketches(candidates.join(groups.select("class").distinct(), "class", "left_semi"), size), "sketches") if sketches is None else sketches
-        pairs = _across(now.join(sketches, "class"), n, percent, bool(all_))
+        pairs = _across(_parts(open_, total).join(sketches, "class"), n, percent, bool(all_))
         more = written(_verified(pairs, candidates, size, percent), "links")
         none = more.isEmpty()
         if not none:
@@ -306,12 +374,12 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
         if all_:
             break
         all_ = none
-    class_ = info.select("class", F.nullif(F.col("doc"), F.lit(_NULL)).alias("doc")).groupBy("class").agg(F.min("doc").alias("doc"))
-    class_ = class_.join(of.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    class_ = info.select("class", F.nullif(F.col("doc"), F.lit(_NULL)).alias("doc")).groupBy("class").agg(F.min("doc").alias("doc"), F.count("*").alias("docs"))
+    class_ = written(class_.join(of.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")), "classes")
     least = class_.groupBy("component").agg(F.min("doc").alias("least"))
-    of_class = class_.join(least, "component").select("class", "least", "component")
+    of_class = written(class_.join(least, "component").select("class", "least", "component", "docs"), "of-classes")
     own = F.nullif(F.col("doc"), F.lit(_NULL))
-    rows = info.join(of_class, "class")
+    rows = _spread(info, of_class, info.count(), "class", "docs")
     return rows.select(own.alias("doc_id"), "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(own).alias("component_id"), "component")
 
 

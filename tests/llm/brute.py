@@ -31,13 +31,15 @@ def substring_dedup(rows: list[tuple], window: int = 50) -> list[tuple]:
     return out
 
 
+def shingles(texts: list, size: int = 4) -> list[set]:
+    lower = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    words = [WORD.findall((t or "").translate(lower)) for t in texts]
+    return [{tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()} for w in words]
+
+
 def jaccard_components(rows: list[tuple], size: int = 4, percent: int = 85) -> list[tuple]:
     """rows: (doc_id, text). doc_id, n_shingles, component_id of each."""
-    lower = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-    sets = []
-    for _, t in rows:
-        w = WORD.findall((t or "").translate(lower))
-        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()})
+    sets = shingles([t for _, t in rows], size)
     parent = list(range(len(rows)))
 
     def top(i: int) -> int:

@@ -189,6 +189,18 @@ def test_mixing(docs, rows, empty, monkeypatch, salted):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [7, 100_000])
+def test_mixing_of_many_sources(spark, monkeypatch, size):
+    """Ranges of sources give what the plain version gives, with equal sizes, empty and null sources."""
+    monkeypatch.setattr(mixing, "RANGE", size)
+    rng = random.Random(3)
+    held = {f"s{i:03}" if i else None: rng.choice([0, 1, 5, 5, 40, 900]) for i in range(80)}
+    rows = spark.createDataFrame([(s, n) for s, n in held.items()], "source string, size long").repartition(5)
+    got = {r.source: r for r in mixing.source_targets(rows).collect()}
+    want = brute.targets(held)
+    assert got.keys() == want.keys() and all(got[s].target == pytest.approx(want[s]) and got[s].source_size == held[s] for s in held)
+
+
 def test_mixing_keeps_columns(spark):
     rows = [(i, "a b c", f"s{i % 2}", "q") for i in range(9)] + [(None, None, None, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, c string").select("doc_id", "text", "source", *[F.col("c").alias(x) for x in ("mix_size", "mix_source", "mix_copies", "of", "rate", "size", "target")])
@@ -357,6 +369,39 @@ def test_ngram_join_of_near_copies(spark, size, percent):
     assert table(got) == sorted(brute.jaccard_components(rows, size, percent), key=repr)
 
 
+@pytest.mark.parametrize("group", [6, 4096])
+def test_ngram_links(spark, docs, rows, monkeypatch, group):
+    """Links between all different texts, and each row's number of them, copies included."""
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    rng = random.Random(5)
+    more, words = [], [f"w{rng.randrange(5000)}" for _ in range(80)]
+    for i in range(40):
+        more.append((1000 + i, " ".join(words)))
+        words[rng.randrange(len(words))] = f"e{rng.randrange(5000)}"
+    texts = [r[:2] for r in rows] + more + [(2000, more[3][1])]
+    sets = brute.shingles([t for _, t in texts])
+    want = sorted((d, len(s), sum(100 * len(s & o) >= 85 * len(s | o) and len(s & o) > 0 for j, o in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(texts, sets, strict=True)))
+    got = ngram_join.link_counts(spark.createDataFrame(texts, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in got.collect()) == want and max(w[2] for w in want) > 3
+    assert ngram_join.link_counts(docs.limit(0)).count() == 0
+
+
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Groups dealt into parts, and blocks by broadcast or join, give the same components."""
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for _ in range(50):
+            rows.append((len(rows), " ".join(words)))
+            words[rng.randrange(len(words))] = f"e{rng.randrange(5000)}"
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), sorted(brute.jaccard_components(rows), key=repr)
+    for hot, group in ((0, 5), (1000, 7)):
+        monkeypatch.setattr(ngram_join, "HOT", hot)
+        monkeypatch.setattr(ngram_join, "GROUP", group)
+        assert table(ngram_join.linked(docs).select("doc_id", "n_shingles", "component_id")) == want
+
+
 def test_sketch_blocks_find_every_pair():
     """Sets at the limit of the threshold share a block, whatever their sizes."""
     rng = np.random.default_rng(3)
