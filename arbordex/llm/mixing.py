@@ -9,7 +9,8 @@ That has a closed form: with the sources in order of cap / weight, the level is
 Each document is emitted floor(rate) times, rate = target / source size, plus one copy with a probability of
 the fraction, by a hash of seed and doc_id: reruns agree, whatever the partitioning.
 
-The windows below run over one row for each source, not over documents. The targets are broadcast only if
+Sources may be many (hosts). Numbers and running sums go over one row for each source, in ranges of about RANGE of them that add the
+totals of the ranges before; only these totals are in one task. The targets are broadcast only if
 there are at most BROADCAST_SOURCES of them; beyond that, they meet the documents in a join salted by
 doc_id, so that a source with a third of all rows is spread over SALTS tasks.
 
@@ -28,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
 BROADCAST_SOURCES = 10_000
+RANGE = 100_000
 SALTS = 32
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -36,20 +38,33 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long")
 
 
+def _running(rows: DataFrame, n: int, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows (of which there are n) with, by each name, the sum of a column over all rows before in this order, which has no ties."""
+    values = {f"_{name}": value for name, value in sums.items()}
+    rows = rows.withColumns(values)
+    ranges = -(-n // RANGE)
+    # Written: a range's number has to last. One range needs no exchange but the window's.
+    dealt = written(rows.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "mix-ranges") if ranges > 1 else rows.withColumn("_range", F.lit(0))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inner, outer = before(Window.partitionBy("_range").orderBy(*order)), before(Window.orderBy("_of"))
+    totals = dealt.groupBy(F.col("_range").alias("_of")).agg(*[F.sum(c).alias(c) for c in values])
+    totals = totals.select("_of", *[F.coalesce(F.sum(c).over(outer), F.lit(0)).alias(f"{c}_") for c in values])  # a row for each range
+    met = dealt.join(F.broadcast(totals), F.col("_range") == F.col("_of"))
+    return met.withColumns({name: F.coalesce(F.sum(f"_{name}").over(inner), F.lit(0)) + F.col(f"_{name}_") for name in sums}).drop("_range", "_of", *values, *[f"{c}_" for c in values])
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """A row for each source: source, source_size, target, rate. sized: source, size."""
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    number = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (number % len(weights) + 1).cast("int")).cast("long")
-    rows = sums.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap"))
-    whole = Window.partitionBy()
-    rows = rows.withColumns({"everything": F.sum("source_size").over(whole), "weights": F.sum("weight").over(whole)})
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    spent = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    rows = rows.withColumn("level", (F.col("everything") - spent("cap")) / (F.col("weights") - spent("weight")))
-    rows = rows.withColumn("level", F.max("level").over(whole))
-    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    n, everything = sums.agg(F.count("*"), F.sum("source_size")).head()
+    last = F.col("source").asc_nulls_last()
+    rows = _running(sums, n, [last], {"number": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int")).cast("long")
+    rows = written(rows.select("source", "source_size", weight.alias("weight"), (most * F.col("source_size")).alias("cap")), "mix-weights")
+    rows = _running(rows, n, [F.col("cap") / F.col("weight"), last], {"spent": F.col("cap"), "used": F.col("weight")})
+    rows = written(rows.withColumn("level", (F.lit(everything) - F.col("spent")) / (F.lit(sum(weights) * (n // len(weights)) + sum(weights[: n % len(weights)])) - F.col("used"))), "mix-levels")
+    level = rows.agg(F.max("level")).head()[0]
+    target = F.least(F.col("cap").cast("double"), F.col("weight") * F.lit(level))
     rate = F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(F.lit(0.0))
     return rows.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
