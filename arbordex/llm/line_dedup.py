@@ -45,12 +45,14 @@ FEW = 4
 #: Neighbours that a line with a large choice looks at first.
 NEAR = 64
 #: Words that a task gathers before it sends them, and words for each part of the join.
-GATHER, PART = 1 << 19, 1 << 21
+GATHER, PART = 1 << 17, 1 << 19
+#: Parts that word counts are added up in.
+SLICES = 16
 #: Occurrences from which on a word's lines are dealt by size.
 HOT = 1 << 24
 #: Repeated rows up to which they are broadcast.
 REPEATS = 10_000
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _GONE = ["<i8", "<i8", "<i4"]  # doc, row, line
 _PREFIX = ["<u4", "<u8", "<u8", "<u8", "<i8", "<i8", "<i4", "<i4", "<i4"]  # word, set, bitmap (2), doc, row, line, size, place
 _MET = "kind int, doc long, row long, line int, doc2 long, row2 long, line2 int, word long"
@@ -60,21 +62,31 @@ _NULL = -(1 << 63)
 
 
 def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """How often the words of each bucket occur, and the number of lines."""
+    """How often the words of each bucket occur, and the number of lines. Tasks send their counts packed, by SLICES slices of the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, lines = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for lo, hi, part in pieces(batch.column(0)):
                 data, offsets = raw(part)
-                total += np.bincount((hashed(data, *split(data, offsets)) & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                found, n = np.unique((hashed(data, *split(data, offsets)) & U(BUCKETS - 1)).astype(np.int32), return_counts=True)
+                total[found] += n
                 lines += hi - lo + int((data == 10).sum())
+        some = np.append(np.flatnonzero(total), BUCKETS).astype(np.int32)  # the last one counts lines
+        yield pack(deal(SLICES)[0][some % SLICES], [some, np.append(total[some[:-1]], lines)])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for blob in batch.column(1).to_pylist():
+                bucket, n = unpack([blob], ["<i4", "<i8"])
+                total[bucket] += n  # a task has each bucket once
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, BUCKETS).astype(np.int32)), pa.array(np.append(total[some], lines))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
 
     found = np.zeros(BUCKETS + 1, np.int64)
-    sums = texts.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    found[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    sums = texts.select("text").mapInArrow(run, SCHEMA).repartition(SLICES, "shard").mapInArrow(add, "bucket int, n long").toArrow()  # BUCKETS rows at most
+    np.add.at(found, sums.column(0).to_numpy(), sums.column(1).to_numpy())
     return found[:-1], int(found[-1])
 
 
