@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -15,7 +16,7 @@ from ..storage import discard, shared_folder, stored_at
 
 #: Arrow batches sent to Python hold at most this many rows and about this many bytes.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 _sent: set[str] = set()
@@ -45,9 +46,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(cleanup, before)
+    release(df.sparkSession)
     return stored_at(df.sparkSession, path, df.schema)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the broadcasts of steps whose results are written: executors keep them until the driver's garbage is collected, and an
+    operator of many steps would fill their memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shards(spark: SparkSession) -> int:
     """Into how many parts operators deal their intermediate rows: as many as the session's shuffles have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -80,4 +89,4 @@ def row_key(text: str = "text"):
     return F.xxhash64(F.col(text))
 
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "documents", "free", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "discard", "documents", "free", "release", "row_key", "shards", "shared_folder", "texts_of", "tune", "written"]

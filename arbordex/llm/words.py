@@ -16,7 +16,7 @@ from .shared import texts_of
 
 U = np.uint64
 #: Texts are worked on in pieces of about so many bytes (or one text), which bounds a worker's memory.
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Words of more bytes are hashed one by one.
 LONG = 512
 TOP = np.iinfo(np.uint64).max
