@@ -17,12 +17,15 @@ def expand_links(entries: DataFrame, strict: bool = False) -> DataFrame:
     strict: a second link in the same directory is lost, as one key has one row.
     """
     base = [c for c in entries.columns if c != "links"]
-    primary = entries.select(*base, F.lit(0).alias("_rank"))
-    more = entries.select(*base, F.explode("links").alias("_link")).where(~((F.col("_link.parent") == F.col("parent_record_number")) & (F.col("_link.name") == F.col("name"))))
-    more = more.withColumns({"parent_record_number": F.col("_link.parent"), "name": F.col("_link.name"), "source": F.lit("link")}).drop("_link").withColumn("_rank", F.lit(1))
+    link = lambda rank, parent, name: F.struct(F.lit(rank).alias("rank"), parent.alias("parent"), name.alias("name"))
+    primary, own = F.array(link(0, F.col("parent_record_number"), F.col("name"))), lambda x: (x["parent"] == F.col("parent_record_number")) & (x["name"] == F.col("name"))
+    more = F.transform(F.filter("links", lambda x: ~own(x)), lambda x: link(1, x["parent"], x["name"]))
+    # One pass over entries: a union of primary and other links would make them twice.
+    rows = entries.withColumn("_link", F.explode(F.concat(primary, F.coalesce(more, F.slice(primary, F.lit(1), F.lit(0))))))
+    values = {"parent_record_number": F.col("_link.parent"), "name": F.col("_link.name"), "source": F.when(F.col("_link.rank") == 1, "link").otherwise(F.col("source"))}
+    both = rows.withColumns(values | {"_rank": F.col("_link.rank"), "_lower": F.lower("_link.name")}).select(*base, "_rank", "_lower")
     same = KEY if strict else [*KEY, "_lower"]
     order = Window.partitionBy(*same).orderBy("_rank", "name")
-    both = primary.unionByName(more).withColumn("_lower", F.lower("name"))
     return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_lower", "_rank")
 
 

@@ -19,10 +19,10 @@ from ..storage import shared_folder, stored_at
 KEY = ["drive", "record_number", "parent_record_number"]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df, written once to the shared checkpoint folder (checkpoint() would compute it twice)."""
     path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return stored_at(df.sparkSession, path, df.schema)
 
 

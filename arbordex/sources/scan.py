@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import format_size, parse_csv_fields
 from ..operators.merge import expand_links, union_volumes, upsert
 from ..operators.search import visible
-from ..operators.tree import dedup
+from ..operators.tree import cut_lineage, dedup
 from ..schema import NODES
 from . import image, layouts
 
@@ -113,26 +114,52 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def decode_records(raw: DataFrame) -> DataFrame:
-    """DC03: raw records as ENTRIES; what can't be decoded has an error."""
+#: Values of records' fields as arrow arrays.
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
+_LINK, _RUN = [("parent", pa.int64()), ("name", pa.string()), ("namespace", pa.int32())], [("clusters", pa.int64()), ("lcn", pa.int64()), ("sparse", pa.bool_())]
+_VALUES = {
+    "sequence": lambda e: e.sequence, "base_record": lambda e: e.base_record, "is_valid": lambda e: e.in_use, "is_directory": lambda e: e.is_directory, "name": lambda e: _clean(e.name), "parent_record_number": lambda e: e.parent,
+    "file_size": lambda e: _signed(e.file_size), "allocated_size": lambda e: _signed(e.allocated_size), "attributes": lambda e: e.attributes, "creation_time": lambda e: _signed(e.created), "modification_time": lambda e: _signed(e.modified),
+    "data_record": lambda e: e.data_record, "has_data": lambda e: e.has_data, "error": lambda e: e.error,
+}
+
+
+def _clean(text: str) -> str:
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
+def _lists(values: list[list], make) -> pa.ListArray:
+    """An array of lists, of their items in one array: make gives it of all items."""
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, values))], pa.int32()), make([x for v in values for x in v]))
+
+
+def _structs(kinds: list[tuple]):
+    return lambda rows: pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+
+def _column(field: str, entries: list[layouts.Entry]) -> pa.Array:
+    name, kind = field.split(maxsplit=1)
+    if name == "links":
+        return _lists([[(p, _clean(n), s) for p, n, s in e.links] for e in entries], _structs(_LINK))
+    if name == "runs":
+        return _lists([[(_signed(c), lcn, s) for c, lcn, s in e.runs] for e in entries], _structs(_RUN))
+    if name == "name_records":
+        return _lists([e.name_records for e in entries], lambda found: pa.array(found, pa.int64()))
+    if name == "streams":
+        return pa.array([[(k, _signed(v)) for k, v in e.streams.items()] for e in entries], pa.map_(pa.string(), pa.int64()))
+    return pa.array(list(map(_VALUES[name], entries)), _KINDS[kind])
+
+
+def decode_records(raw: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """DC03: raw records as ENTRIES, without some of their columns; what can't be decoded has an error."""
+    fields = [f for f in _fields(ENTRIES) if f.split()[0] not in without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            drives, numbers, data = (batch.column(i).to_pylist() for i in range(3))
-            found = [layouts.mft_record(d or b"", n) for n, d in zip(numbers, data, strict=True)]
-            column = lambda kind, f: pa.array([f(e) for e in found], kind)
-            long = pa.int64()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(drives, pa.string()), pa.array(numbers, long), column(pa.int32(), lambda e: e.sequence), column(long, lambda e: e.base_record), column(pa.bool_(), lambda e: e.in_use),
-                column(pa.bool_(), lambda e: e.is_directory), column(pa.string(), lambda e: e.name.encode("utf-8", "replace").decode()), column(long, lambda e: e.parent), column(long, lambda e: _signed(e.file_size)),
-                column(long, lambda e: _signed(e.allocated_size)), column(long, lambda e: e.attributes), column(long, lambda e: _signed(e.created)), column(long, lambda e: _signed(e.modified)),
-                column(pa.list_(pa.struct([("parent", long), ("name", pa.string()), ("namespace", pa.int32())])), lambda e: [dict(zip(("parent", "name", "namespace"), x, strict=True)) for x in e.links]),
-                column(pa.list_(pa.struct([("clusters", long), ("lcn", long), ("sparse", pa.bool_())])), lambda e: [{"clusters": _signed(c), "lcn": lcn, "sparse": s} for c, lcn, s in e.runs]),
-                column(pa.map_(pa.string(), long), lambda e: [(k, _signed(v)) for k, v in e.streams.items()]), column(pa.list_(long), lambda e: e.name_records), column(long, lambda e: e.data_record),
-                column(pa.bool_(), lambda e: e.has_data), column(pa.string(), lambda e: e.error),
-            ], names=[f.split()[0] for f in _fields(ENTRIES)])
-
-    return raw.select("drive", "record_number", "data").mapInArrow(run, ENTRIES)
+            found = [layouts.mft_record(d or b"", n) for n, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[_column(f, found) for f in fields[2:]]], names=[f.split()[0] for f in fields])
+
+    return raw.select("drive", "record_number", "data").mapInArrow(run, ", ".join(fields))
 
 
 def _fields(ddl: str) -> list[str]:
@@ -148,26 +175,29 @@ def _fields(ddl: str) -> list[str]:
 def resolve_extensions(entries: DataFrame) -> DataFrame:
     """DC13, JN04: base records with the links and sizes that their extension records hold; names that only those hold, too.
 
-    Extension records aren't rows of their own. Records that stay without a name are left out.
+    Extension records aren't rows of their own. Records that stay without a name are left out. Reads entries three times: pass a written table.
     """
     good = entries.where("error IS NULL AND is_valid")
     base = good.where("base_record = 0")
-    wanted = base.select("drive", "record_number", F.posexplode("name_records").alias("place", "extension"))
-    other = good.select("drive", F.col("record_number").alias("extension"), F.col("links").alias("more"))
-    found = wanted.join(other, ["drive", "extension"]).where(F.size("more") > 0)
-    found = found.groupBy("drive", "record_number").agg(F.array_sort(F.collect_list(F.struct("place", "more"))).alias("_parts"))
-    sizes = good.where("has_data").select("drive", F.col("record_number").alias("data_record"), F.col("file_size").alias("_size"), F.col("allocated_size").alias("_allocated"))
-    met = base.join(found, ["drive", "record_number"], "left").join(sizes, ["drive", "data_record"], "left")
+    # Names' and data's records are mostly the same ones; each is looked up once.
+    wanted = base.select("drive", "record_number", "name_records", "data_record", F.posexplode(F.array_distinct(F.array_compact(F.concat("name_records", F.array("data_record"))))).alias("place", "extension"))
+    wanted = wanted.select("drive", "record_number", "place", "extension", F.array_contains("name_records", F.col("extension")).alias("_named"), F.coalesce(F.col("data_record") == F.col("extension"), F.lit(False)).alias("_sized"))
+    size = F.when(F.col("has_data"), F.struct(F.col("file_size").alias("size"), F.col("allocated_size").alias("allocated")))
+    other = good.where((F.size("links") > 0) | F.col("has_data")).select("drive", F.col("record_number").alias("extension"), F.transform("links", lambda x: F.struct(x["parent"].alias("parent"), x["name"].alias("name"))).alias("more"), size.alias("_data"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("_named"), F.struct("place", "more"))))
+    found = wanted.join(other, ["drive", "extension"]).groupBy("drive", "record_number").agg(parts.alias("_parts"), F.max(F.when(F.col("_sized"), F.col("_data"))).alias("_data"))
+    met = base.join(found, ["drive", "record_number"], "left").withColumns({"_size": F.col("_data.size"), "_allocated": F.col("_data.allocated")})
     extra = F.flatten(F.transform("_parts", lambda p: p["more"]))
     first = F.get(extra, F.lit(0))
     unnamed, sized = F.col("name") == "", (F.col("file_size") == 0) & ~F.col("is_directory") & F.col("_size").isNotNull()
-    links = F.concat("links", F.coalesce(extra, F.array().cast("array<struct<parent:long,name:string,namespace:int>>")))
+    own = F.transform("links", lambda x: F.struct(x["parent"].alias("parent"), x["name"].alias("name")))
+    links = F.concat(own, F.coalesce(extra, F.array().cast("array<struct<parent:long,name:string>>")))
     return met.withColumns({
-        "links": F.array_distinct(F.transform(links, lambda x: F.struct(x["parent"].alias("parent"), x["name"].alias("name")))),
+        "links": F.array_distinct(links),
         "parent_record_number": F.when(unnamed & (F.col("parent_record_number") == 0), F.coalesce(first["parent"], F.lit(0))).otherwise(F.col("parent_record_number")),
         "name": F.when(unnamed, F.coalesce(first["name"], F.lit(""))).otherwise(F.col("name")),
         "file_size": F.when(sized, F.col("_size")).otherwise(F.col("file_size")), "allocated_size": F.when(sized, F.col("_allocated")).otherwise(F.col("allocated_size")),
-    }).where("name <> ''").drop("_parts", "_size", "_allocated")
+    }).where("name <> ''").drop("_parts", "_data", "_size", "_allocated")
 
 
 def nodes_from_entries(entries: DataFrame, strict_links: bool = False) -> DataFrame:
@@ -198,9 +228,13 @@ def nodes_from_journal(records: DataFrame) -> DataFrame:
 
 
 def scan(raw: DataFrame, config: ScanConfig | None = None, journal: DataFrame | None = None) -> DataFrame:
-    """SC01: the nodes of a volume from its raw records, over those of its journal if there is one. Rows of errors are left out (FL12, FL16)."""
+    """SC01: the nodes of a volume from its raw records, over those of its journal if there is one. Rows of errors are left out (FL12, FL16).
+
+    Records are decoded once, into a table of the shared folder.
+    """
     config = config or ScanConfig()
-    found = visible(nodes_from_entries(resolve_extensions(decode_records(raw)), config.strict_links), config.hidden, config.system)
+    entries = cut_lineage(decode_records(raw, ("runs", "streams")), "zstd")
+    found = visible(nodes_from_entries(resolve_extensions(entries), config.strict_links), config.hidden, config.system)
     if journal is not None:
         found = upsert(visible(nodes_from_journal(journal), config.hidden, config.system), found)
     return dedup(found)

@@ -150,3 +150,28 @@ def test_presets(spark, tmp_path):
     (tmp_path / "f.csv").write_text('Name,Case,Whole Word,Path,Diacritics,Regex,Search,Macro,Key\n"ALL",0,0,0,0,0,"",,\n"EXE",0,0,0,1,0,"ext:bat;exe","exe",\n"short",0\n"",0,0,0,0,0,"x",,\n')
     assert sorted(tuple(r) for r in scan.read_presets(spark, str(tmp_path / "f.csv")).collect()) == [("ALL", "", ""), ("EXE", "ext:bat;exe", "exe")]
     assert scan.preset_line('"A",0,0,0,0,0,"s"') == {"name": "A", "search": "s", "macro": ""}
+
+
+def _counted(spark, rows):
+    """rows of raw records, and how many of them were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(rows, scan.RAW).mapInArrow(run, scan.RAW), made
+
+
+def test_scan_decodes_once(spark):
+    """dc13_extensions: bases with names in two extensions, of which one holds the data, too; a listed record that isn't there."""
+    rows = []
+    for n in range(100, 130, 3):
+        listed = lay.pack_list([(lay.FILE_NAME, 0, n + 1), (lay.FILE_NAME, 0, n + 2), (lay.DATA, 0, n + 2), (lay.FILE_NAME, 0, 9999)])
+        data = lay.pack_attribute(lay.DATA, runs=[(1, 5, False)], size=n, allocated=4096)
+        rows += [("C", n, lay.pack_record([listed])), ("C", n + 1, lay.pack_record([lay.pack_name(6, f"a{n}")], base=n)), ("C", n + 2, lay.pack_record([lay.pack_name(7, f"b{n}"), lay.pack_name(8, f"ä{n}"), data], base=n))]
+    raw, made = _counted(spark, rows)
+    found = sorted((r.record_number, r.parent_record_number, r.name, r.file_size, r.allocated_size, r.source) for r in scan.scan(raw).collect())
+    assert found == sorted((n, p, f"{c}{n}", n, 4096, s) for n in range(100, 130, 3) for p, c, s in ((6, "a", "mft"), (7, "b", "link"), (8, "ä", "link")))
+    assert made.value == len(rows)
