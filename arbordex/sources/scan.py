@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_size, parse_csv_fields
-from ..operators.merge import expand_links, union_volumes, upsert
+from ..operators.merge import expand_links, upsert
 from ..operators.search import visible
 from ..operators.tree import cut_lineage, dedup
 from ..schema import NODES
@@ -267,7 +268,8 @@ def scan_drives(sources: dict[str, object]) -> tuple[DataFrame | None, dict[str,
             result[drive] = None
         except Exception as e:  # noqa: BLE001  a drive that fails doesn't stop the others
             result[drive] = str(e)
-    return (union_volumes(found) if found else None), result
+    # Each drive is one volume: union_volumes() would make all rows a second time to find that out, and put each drive into one task.
+    return (reduce(DataFrame.unionByName, found) if found else None), result
 
 
 def read_presets(spark: SparkSession, path: str) -> DataFrame:

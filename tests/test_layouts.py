@@ -175,3 +175,14 @@ def test_scan_decodes_once(spark):
     found = sorted((r.record_number, r.parent_record_number, r.name, r.file_size, r.allocated_size, r.source) for r in scan.scan(raw).collect())
     assert found == sorted((n, p, f"{c}{n}", n, 4096, s) for n in range(100, 130, 3) for p, c, s in ((6, "a", "mft"), (7, "b", "link"), (8, "ä", "link")))
     assert made.value == len(rows)
+
+
+def test_drives_are_made_once(spark):
+    """sc20_drives: counting all drives' rows decodes nothing again and joins no drives."""
+    one, made_one = _counted(spark, [("C", n, lay.pack_record([lay.pack_name(5, f"c{n}")])) for n in range(50)])
+    two, made_two = _counted(spark, [("C", n, lay.pack_record([lay.pack_name(5, f"d{n}"), lay.pack_name(6, f"e{n}")])) for n in range(50)])
+    found, errors = scan.scan_drives({"C": lambda: one, "D": lambda: two, "X": lambda: spark.read.parquet("/none")})
+    before = made_one.value, made_two.value
+    assert {r["drive"]: r["count"] for r in found.groupBy("drive").count().collect()} == {"C": 50, "D": 100}
+    assert (made_one.value, made_two.value) == before and errors["C"] is errors["D"] is None and errors["X"]
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
