@@ -39,3 +39,19 @@ def record_offsets(records: DataFrame, extents: DataFrame, mft_lcn: int, bytes_p
         met = rows.withColumn("_at", F.floor(F.col("_vcn") / STRETCH)).join(e, inside & (F.col("_at") == F.col("_stretch")), "left").drop("_at", "_stretch")
     offset = F.coalesce((F.col("_lcn") + F.col("_vcn") - F.col("_start")) * bytes_per_cluster + F.col("_inner"), F.lit(mft_lcn * bytes_per_cluster) + position)
     return met.withColumn("byte_offset", offset).drop("_vcn", "_inner", "_drive", "_start", "_lcn", "_n")
+
+
+def held(points: DataFrame, extents: DataFrame) -> DataFrame:
+    """The distinct (drive, vcn) of points that an extent holds. Extents may overlap and be of any length and number.
+
+    A point is held if some extent that starts at or before it ends after it: a running maximum of ends in each stretch, over that of all stretches before. No
+    pair of a point and an extent is ever made.
+    """
+    at = points.select("drive", "vcn").distinct().select("drive", "vcn", F.lit(None).cast("long").alias("_end"), F.lit(1).alias("_point"))
+    both = at.unionByName(extents.select("drive", "vcn", (F.col("vcn") + F.col("clusters")).alias("_end"), F.lit(0).alias("_point"))).where("drive IS NOT NULL AND vcn IS NOT NULL")
+    both = both.withColumn("_stretch", F.floor(F.col("vcn") / STRETCH))
+    before = Window.partitionBy("drive").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy("drive", "_stretch").agg(F.max("_end").alias("_most")).select("drive", "_stretch", F.max("_most").over(before).alias("_carried"))
+    here = Window.partitionBy("drive", "_stretch").orderBy("vcn", "_point").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.join(ends, ["drive", "_stretch"]).withColumn("_reach", F.greatest(F.max("_end").over(here), "_carried"))
+    return met.where((F.col("_point") == 1) & (F.col("_reach") > F.col("vcn"))).select("drive", "vcn")

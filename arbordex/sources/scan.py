@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_size, parse_csv_fields
+from ..operators.extents import held
 from ..operators.merge import expand_links, upsert
 from ..operators.search import visible
 from ..operators.tree import cut_lineage, dedup
@@ -76,14 +77,16 @@ def parent_info(raw: DataFrame) -> DataFrame:
 
 
 def inspect(raw: DataFrame, extents: DataFrame, bytes_per_cluster: int, record_size: int = 1024) -> DataFrame:
-    """TR02: what a record's bytes say, beside where the record is: signature, vcn, covered (an extent holds it) and ENTRIES."""
+    """TR02: what a record's bytes say, beside where the record is: signature, vcn, covered (an extent holds it) and ENTRIES.
+
+    Records are decoded once, into a table of the shared folder. Extents may overlap.
+    """
+    decoded = decode_records(raw, head=True)
+    rest = [c for c in decoded.columns if c not in ("drive", "record_number", "signature", "bytes")]
     vcn = F.floor(F.col("record_number") * record_size / bytes_per_cluster)
-    e = extents.select(F.col("drive").alias("_drive"), F.col("vcn").alias("_start"), (F.col("vcn") + F.col("clusters")).alias("_end"))
-    head = raw.select("drive", "record_number", F.hex(F.substring("data", 1, 4)).alias("signature"), F.octet_length("data").alias("bytes"), vcn.alias("vcn"))
-    inside = (F.col("drive") == F.col("_drive")) & (F.col("vcn") >= F.col("_start")) & (F.col("vcn") < F.col("_end"))
-    covered = head.join(e, inside, "left_semi").select("drive", "record_number").distinct().withColumn("covered", F.lit(True))
-    met = head.join(covered, ["drive", "record_number"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
-    return met.join(decode_records(raw), ["drive", "record_number"])
+    rows = cut_lineage(decoded.withColumn("vcn", vcn))
+    covered = held(rows.select("drive", "vcn"), extents).withColumn("covered", F.lit(True))
+    return rows.join(covered, ["drive", "vcn"], "left").select("drive", "record_number", "signature", "bytes", "vcn", F.coalesce("covered", F.lit(False)).alias("covered"), *rest)
 
 
 def volumes(reported: DataFrame) -> DataFrame:
@@ -151,16 +154,19 @@ def _column(field: str, entries: list[layouts.Entry]) -> pa.Array:
     return pa.array(list(map(_VALUES[name], entries)), _KINDS[kind])
 
 
-def decode_records(raw: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
-    """DC03: raw records as ENTRIES, without some of their columns; what can't be decoded has an error."""
+def decode_records(raw: DataFrame, without: tuple[str, ...] = (), head: bool = False) -> DataFrame:
+    """DC03: raw records as ENTRIES, without some of their columns; what can't be decoded has an error. head: with signature (hexadecimal) and bytes."""
     fields = [f for f in _fields(ENTRIES) if f.split()[0] not in without]
+    more = ["signature string", "bytes int"] if head else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [layouts.mft_record(d or b"", n) for n, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[_column(f, found) for f in fields[2:]]], names=[f.split()[0] for f in fields])
+            data = batch.column(2).to_pylist()
+            found = [layouts.mft_record(d or b"", n) for n, d in zip(batch.column(1).to_pylist(), data, strict=True)]
+            heads = [pa.array([None if d is None else d[:4].hex().upper() for d in data], pa.string()), pa.array([None if d is None else len(d) for d in data], pa.int32())] if head else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[_column(f, found) for f in fields[2:]], *heads], names=[f.split()[0] for f in (*fields, *more)])
 
-    return raw.select("drive", "record_number", "data").mapInArrow(run, ", ".join(fields))
+    return raw.select("drive", "record_number", "data").mapInArrow(run, ", ".join([*fields, *more]))
 
 
 def _fields(ddl: str) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from arbordex.operators import extents
@@ -53,3 +55,15 @@ def test_lookups_either_way(spark):
     runs = spark.createDataFrame([("R", k, k * 1000, n, k % 7 == 0) for k, n in PARTS], "drive string, seq long, lcn long, clusters long, sparse boolean")
     ways = [extents.record_offsets(rows, extents.extent_map(runs), 786432, 4096, 1024, small).collect() for small in (True, False)]
     assert sorted(ways[0]) == sorted(ways[1])
+
+
+def test_held_makes_no_pairs(spark):
+    """tr02_inspect: overlapping, empty and long extents over several stretches, two drives; as a plain loop has it, without a join by range."""
+    r = random.Random(3)
+    spans = [(d, s, n) for d in "CD" for s, n in [(0, 3), (5, 0), (7, 400_000), (9, 2), (500_000, 1), (900_000, 300_000), *((r.randrange(2_000_000), r.randrange(2_000)) for _ in range(60))] if d == "C" or s % 2]
+    points = [(d, p) for d in "CDE" for p in [0, 2, 3, 5, 6, 400_006, 400_007, 500_000, 500_001, *(r.randrange(2_100_000) for _ in range(300))]]
+    e = spark.createDataFrame(spans, "drive string, vcn long, clusters long")
+    found = extents.held(spark.createDataFrame(points, "drive string, vcn long"), e)
+    assert {tuple(x) for x in found.collect()} == {(d, p) for d, p in points if any(d == x and s <= p < s + n for x, s, n in spans)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not [x for x in plan.split("\n") if "Join" in x and (" < " in x or " >= " in x)]
