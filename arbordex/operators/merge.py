@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import format_size
@@ -107,8 +109,12 @@ def counted(nodes: DataFrame) -> DataFrame:
 
 
 def selection(results: DataFrame, selected: DataFrame, cursor: bool = True) -> DataFrame:
-    """AG05: how many results there are and how many of them are selected; without any, the cursor's row counts as one."""
-    marks = selected.select(*KEY).distinct().withColumn("_chosen", F.lit(True))
-    found = results.join(marks, KEY, "left").agg(F.count("*").alias("objects"), F.count_if(F.coalesce("_chosen", F.lit(False))).alias("selected"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
+    """AG05: how many results there are and how many of them are selected; without any, the cursor's row counts as one.
+
+    A row is a link: a record can have several in one directory, so the name counts, too. Unknown values equal each other.
+    """
+    marks = selected.select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "name")]).distinct().withColumn("_chosen", F.lit(True))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*KEY, "name")])
+    found = results.join(marks, same, "left").agg(F.count("*").alias("objects"), F.count_if(F.coalesce("_chosen", F.lit(False))).alias("selected"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"))
     found = found.withColumn("selected", F.greatest("selected", F.lit(int(cursor)).cast("long")))
     return found.withColumn("label", F.concat(F.lit(" "), F.col("objects").cast("string"), F.lit(" objects | "), F.col("selected").cast("string"), F.lit(" selected | "), format_size(F.col("total_size")), F.lit(" total")))

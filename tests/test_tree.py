@@ -172,3 +172,10 @@ def test_exports(spark, tmp_path):
     assert '"files":1,"directories":1,"total_size":3' in text
     assert sinks.summary(tree.stats(nodes), 0.5).head().files_per_second == 2.0 and "files_per_second" not in sinks.summary(tree.stats(nodes)).columns
     assert sinks.path_list(rows.where("record_number = 10")).head()[0] == 'C:\\say "x"'
+
+
+def test_selected_links(spark):
+    """ag05_selection: of two links of a record in one directory, one is selected; a row without a name, too."""
+    rows = nodes_of(spark, [(11, 10, "x", 9, False), (11, 10, "y", 20, False), (12, 10, None, 30, False), (13, 10, "z", 1, False)])
+    one = merge.selection(rows, rows.where("file_size >= 20")).head()
+    assert (one.objects, one.selected, one.label) == (4, 2, " 4 objects | 2 selected | 60 B total")
